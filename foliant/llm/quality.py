@@ -45,9 +45,8 @@ class Rules:
         return sorted({w for ws in self.lexicon.values() for w in ws})
 
 
-def base_columns(text: Column, ws: Column) -> dict[str, Column]:
-    """Counts of the contract but n_repeat_words, from the text and its words."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+def base_columns(text: Column, ws: Column, lines: Column) -> dict[str, Column]:
+    """Counts of the contract but n_repeat_words, from the text, its words and its lines that have a word."""
     return {
         "n_words": F.size(ws).cast("long"),
         "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
@@ -58,10 +57,8 @@ def base_columns(text: Column, ws: Column) -> dict[str, Column]:
 
 def windows(ws: Column) -> Column:
     """A hash of each three-word window. ws must be a column, and is read more than once."""
-    return F.when(
-        F.size(ws) >= 3,
-        F.transform(F.arrays_zip(F.slice(ws, F.lit(1), F.size(ws) - 2), F.slice(ws, F.lit(2), F.size(ws) - 2), F.slice(ws, F.lit(3), F.size(ws) - 2)), lambda w: F.xxhash64(w)),
-    ).otherwise(F.array().cast("array<bigint>"))
+    at = F.when(F.size(ws) >= 3, F.sequence(F.lit(0), F.size(ws) - 3)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
 
 
 def repeated_starts(hashes: Column, ranked: Column) -> Column:
@@ -92,17 +89,17 @@ def class_counts(text: Column) -> dict[str, Column]:
     return {"letter": n(text) - n(rest) - upper, "upper": upper, "digit": n(plain) - n(undigit), "space": n(rest) - n(plain), "mark": n(undigit) - n(unmarked), "symbol": n(unmarked) - n(other), "other": n(other)}
 
 
-def word_counts(ws: Column, bins: list[str]) -> Column:
-    """How often each of the bins is a word: the numbers of the words found are sorted among one of each bin, and the gaps counted."""
-    numbers = F.map_from_arrays(F.array(*map(F.lit, bins)), F.array(*(F.lit(i) for i in range(len(bins)))))
-    codes = F.transform(F.filter(ws, lambda w: (F.length(w) <= max(map(len, bins))) & w.isin(bins)), lambda w: numbers[w])
-    return F.sort_array(F.concat(codes, int_array(range(len(bins) + 1))))
+def ranked_words(ws: Column, bins: list[str]) -> Column:
+    """The words that are bins, sorted, with one more of each bin; bins must be sorted."""
+    most = max(map(len, bins))
+    return F.sort_array(F.concat(F.filter(ws, lambda w: (F.length(w) <= most) & w.isin(bins)), F.split(F.lit(" ".join(bins)), " ")))
 
 
-def gaps(ranked: Column, n: int) -> Column:
-    """The counts from word_counts(); ranked must be a column."""
-    places = F.transform(int_array(range(n + 1)), lambda k: F.array_position(ranked, k))
-    return F.transform(int_array(range(n)), lambda k: (F.get(places, k + 1) - F.get(places, k) - 1).cast("long"))
+def bin_counts(ranked: Column) -> Column:
+    """How often each bin is a word, from ranked_words(), which must be a column: the lengths of the runs, less one."""
+    starts = F.filter(F.transform(ranked, lambda w, i: F.when((i == 0) | (w != F.get(ranked, i - 1)), i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(ranked)))
+    return F.zip_with(ends, starts, lambda end, start: (end - start - 1).cast("long"))
 
 
 def js_distance(p: Column, q: list[float]) -> Column:
@@ -121,8 +118,8 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", rules: R
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.where(F.col(lang).isin(list(rules.lexicon))).select(F.col(lang).alias("lang"), t.alias("t"), words(F.col(text)).alias("ws"))
     out = out.where(F.size("ws") >= rules.least_words)
-    out = out.select("lang", F.size("ws").alias("n"), word_counts(F.col("ws"), bins).alias("ranked"), *(c.cast("long").alias(k) for k, c in class_counts(F.col("t")).items()))
-    out = out.withColumn("counts", gaps(F.col("ranked"), len(bins)))
+    out = out.select("lang", F.size("ws").alias("n"), ranked_words(F.col("ws"), bins).alias("ranked"), *(c.cast("long").alias(k) for k, c in class_counts(F.col("t")).items()))
+    out = out.withColumn("counts", bin_counts(F.col("ranked")))
     rows = out.groupBy("lang").agg(*(F.sum(c).alias(c) for c in CLASSES), *(F.sum(F.get("counts", F.lit(i))).alias(f"b{i}") for i in range(len(bins))), F.sum("n").alias("n")).collect()
     return {r["lang"]: ([r[c] for c in CLASSES], [r[f"b{i}"] for i in range(len(bins))], r["n"]) for r in sorted(rows, key=lambda r: r["lang"])}
 
@@ -136,20 +133,21 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules
     """
     refs = references(docs, text, lang, rules)
     bins, column = rules.bins, fresh(docs, "quality")
-    name = {k: fresh(docs, f"q_{k}") for k in ("t", "ws", "h", "ranked", "starts", "words", "counts", "base", "class")}
+    name = {k: fresh(docs, f"q_{k}") for k in ("t", "ws", "lines", "h", "ranked", "starts", "words", "counts", "base", "class")}
     col = {k: F.col(v) for k, v in name.items()}
     out = docs.withColumn(name["t"], F.coalesce(F.col(text), F.lit(""))).withColumn(name["ws"], words(F.col(text)))
-    out = out.withColumns({name["h"]: windows(col["ws"]), name["ranked"]: word_counts(col["ws"], bins)})
+    lines = F.filter(F.split(col["t"], "\n", -1), lambda x: x.rlike(WORD))
+    out = out.withColumns({name["h"]: windows(col["ws"]), name["ranked"]: ranked_words(col["ws"], bins), name["lines"]: lines})
     pairs = F.sort_array(F.transform(col["h"], lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     # Only texts with a repeated window are sorted.
     none = F.array().cast("array<struct<h:bigint,i:int>>")
     out = out.withColumn(name["starts"], F.when(F.size(F.array_distinct(col["h"])) < F.size(col["h"]), pairs).otherwise(none))
     repeat = F.when(F.size(col["starts"]) == 0, F.lit(0).cast("long")).otherwise(covered(repeated_starts(col["h"], col["starts"])))
-    counts = base_columns(col["t"], col["ws"])
+    counts = base_columns(col["t"], col["ws"], col["lines"])
     out = out.withColumns(
         {
             name["base"]: F.struct(*(c.alias(k) for k, c in counts.items()), repeat.alias("n_repeat_words")),
-            name["counts"]: gaps(col["ranked"], len(bins)),
+            name["counts"]: bin_counts(col["ranked"]),
             name["class"]: F.struct(F.length(col["t"]).alias("n"), *(c.alias(k) for k, c in class_counts(col["t"]).items())),
         }
     )
