@@ -45,12 +45,12 @@ class Rules:
         return sorted({w for ws in self.lexicon.values() for w in ws})
 
 
-def base_columns(text: Column, ws: Column, lines: Column) -> dict[str, Column]:
-    """Counts of the contract but n_repeat_words, from the text, its words and its lines that have a word."""
+def base_columns(classes: Column, ws: Column, lines: Column) -> dict[str, Column]:
+    """Counts of the contract but n_repeat_words, from class_counts() and the length n, the words, and the lines that have a word."""
     return {
         "n_words": F.size(ws).cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"),
+        "word_chars": (classes["n"] - classes["space"]).cast("long"),
+        "n_symbols": classes["n_symbols"].cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
     }
 
@@ -78,15 +78,24 @@ def covered(starts: Column) -> Column:
 
 
 def class_counts(text: Column) -> dict[str, Column]:
-    """Characters by class, each counted in what the classes before it have left."""
-    rest = F.regexp_replace(text, r"\p{L}+", "")
-    plain = F.regexp_replace(rest, r"[\x20\x09-\x0D]+", "")
+    """Characters by class, each counted in what the classes before it have left, and among the symbols those of the contract."""
+    cased = F.regexp_replace(text, r"\p{Ll}+", "")
+    rest = F.regexp_replace(cased, r"\p{L}+", "")
+    plain = F.regexp_replace(rest, SPACE, "")
     undigit = F.regexp_replace(plain, "[0-9]+", "")
     unmarked = F.regexp_replace(undigit, r"""[.,;:!?'"()-]+""", "")
     other = F.regexp_replace(unmarked, "[!-~]+", "")
     n = F.length
-    upper = n(text) - n(F.regexp_replace(text, r"\p{Lu}+", ""))
-    return {"letter": n(text) - n(rest) - upper, "upper": upper, "digit": n(plain) - n(undigit), "space": n(rest) - n(plain), "mark": n(undigit) - n(unmarked), "symbol": n(unmarked) - n(other), "other": n(other)}
+    return {
+        "letter": n(text) - n(cased),
+        "upper": n(cased) - n(rest),
+        "digit": n(plain) - n(undigit),
+        "space": n(rest) - n(plain),
+        "mark": n(undigit) - n(unmarked),
+        "symbol": n(unmarked) - n(other),
+        "other": n(other),
+        "n_symbols": n(F.regexp_replace(unmarked, "[^#*$%&|<>]+", "")),
+    }
 
 
 def ranked_words(ws: Column, bins: list[str]) -> Column:
@@ -138,17 +147,18 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules
     out = docs.withColumn(name["t"], F.coalesce(F.col(text), F.lit(""))).withColumn(name["ws"], words(F.col(text)))
     lines = F.filter(F.split(col["t"], "\n", -1), lambda x: x.rlike(WORD))
     out = out.withColumns({name["h"]: windows(col["ws"]), name["ranked"]: ranked_words(col["ws"], bins), name["lines"]: lines})
+    classes = F.struct(F.length(col["t"]).alias("n"), *(c.alias(k) for k, c in class_counts(col["t"]).items()))
+    out = out.withColumn(name["class"], classes)
     pairs = F.sort_array(F.transform(col["h"], lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     # Only texts with a repeated window are sorted.
     none = F.array().cast("array<struct<h:bigint,i:int>>")
     out = out.withColumn(name["starts"], F.when(F.size(F.array_distinct(col["h"])) < F.size(col["h"]), pairs).otherwise(none))
     repeat = F.when(F.size(col["starts"]) == 0, F.lit(0).cast("long")).otherwise(covered(repeated_starts(col["h"], col["starts"])))
-    counts = base_columns(col["t"], col["ws"], col["lines"])
+    counts = base_columns(col["class"], col["ws"], col["lines"])
     out = out.withColumns(
         {
             name["base"]: F.struct(*(c.alias(k) for k, c in counts.items()), repeat.alias("n_repeat_words")),
             name["counts"]: bin_counts(col["ranked"]),
-            name["class"]: F.struct(F.length(col["t"]).alias("n"), *(c.alias(k) for k, c in class_counts(col["t"]).items())),
         }
     )
     base, classes = col["base"], col["class"]
