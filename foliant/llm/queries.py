@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, mixing, quality, secrets, sharding
+from foliant.llm import chat, decontaminate, mixing, neardup, quality, secrets, sharding, substrings
 from foliant.llm.common import documents, small_table
 from foliant.llm.oracles import ORACLES
 
@@ -41,6 +41,12 @@ def op6_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of repeated strings of 400 bytes."""
+    out = substrings.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, folded, rendered and read back."""
     text = "</s>[INST] ok [/INST]"
@@ -59,8 +65,19 @@ def op8_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and each benchmark item of which it holds three quarters of the shingles or more."""
+    out = decontaminate.contained(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", F.col("found").cast("long").alias("found"), F.col("n").cast("long").alias("n_shingles"))
+
+
+def op10_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return neardup.linked(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_distribution_divergence, op4_virtual_slots, op5_sainte_lague, op6_credential_linking, op8_event_sourced_chat)}
+    return {f.__name__: f for f in (op1_distribution_divergence, op4_virtual_slots, op5_sainte_lague, op6_credential_linking, op7_prefix_doubling, op8_event_sourced_chat, op9_minhash_containment, op10_multi_index_hamming)}
 
 
 def oracle_sql() -> dict[str, str]:
