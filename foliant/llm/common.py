@@ -26,6 +26,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)
 
 
+def pinned(column: Column) -> Column:
+    """The same column, which Catalyst does not copy into filters.
+
+    A filter inferred from a join or an explode is otherwise pushed below the projection that makes
+    an array, and a lambda then computes its whole source again for each element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
