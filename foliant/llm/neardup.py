@@ -8,9 +8,8 @@ document stands for it. A representative has a signature of ``N_SYMBOLS`` MinHas
 each way to leave out that many of its symbols: all pairs under the distance threshold meet. Two
 sets of Jaccard similarity 0.75 exceed that distance with a probability of about 1e-5.
 
-Pairs that meet are not enumerated. First each representative meets the least member of its
-buckets; it is held against the one it meets most often, confirmed links make components, and then
-only pairs of different components that share a bucket remain, sieved inside the join by set sizes
+Pairs that meet are not enumerated. First each representative is held against one hub of its
+buckets, confirmed links make components, and then only pairs of different components that share a bucket remain, sieved inside the join by set sizes
 and one-bit sketches. Every link is confirmed on full shingle sets. Components of a bucket that are
 joined already cost nothing, whatever its size, and no pair of different components is lost.
 
@@ -135,19 +134,24 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     reps = written(usable.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "s1", "s2", "sig")).alias("x")).select("fp", "x.*"), "reps")
     small = reps.select(F.col("doc_id").alias("rep"), "n", "s1", "s2")
 
-    # A running minimum finds the least member of a bucket without holding the bucket.
+    # Buckets of one member go; neighbours in a bucket tell, so no bucket is held.
     keys = reps.select("doc_id", "sig").mapInArrow(_keys, "key long, rep long")
     bucket = Window.partitionBy("key").orderBy("rep")
-    met = keys.select("key", "rep", F.min("rep").over(bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("hub"), F.lead("rep").over(bucket).alias("next"))
-    met = written(met.where("hub <> rep OR next IS NOT NULL").select("key", "rep", "hub"), "met")
-
-    # Round 1: each representative against the hub that it meets most often.
-    often = met.where("hub <> rep").groupBy("rep", "hub").agg(F.count("*").alias("times"))
+    met = keys.select("key", "rep", F.lag("rep").over(bucket).alias("before"), F.lead("rep").over(bucket).alias("after"))
+    met = written(met.where("before IS NOT NULL OR after IS NOT NULL").select("key", "rep"), "met")
+
+    # Round 1: each representative against one hub. The members that meet most others are hubs of their
+    # buckets, and of its hubs a representative takes the one it meets most often. An original that
+    # was copied with edits is such a hub, nearer to each copy than the copies are to each other.
+    degree = met.join(met.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("rep").agg(F.sum(F.col("size") - 1).alias("degree"))
+    top = Window.partitionBy("key").orderBy(F.col("degree").desc(), "rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hubs = met.join(written(degree, "degree"), "rep").select("rep", F.first("rep").over(top).alias("hub"))
+    often = hubs.where("hub <> rep").groupBy("rep", "hub").agg(F.count("*").alias("times"))
     first = often.groupBy("rep").agg(F.max(F.struct("times", (-F.col("hub")).alias("less"))).alias("x")).select("rep", (-F.col("x.less")).alias("hub"))
     a, b = small.alias("a"), small.alias("b")
     sieve = _sizes_fit(F.col("a.n"), F.col("b.n")) & (_sketch_apart("a", "b") <= MOST_SKETCH)
     tried = first.join(a, F.col("a.rep") == first["rep"]).join(b, F.col("b.rep") == first["hub"]).where(sieve)
-    tried = written(tried.select(F.col("hub").alias("u"), first["rep"].alias("v")), "tried")
+    tried = written(tried.select(F.least("hub", first["rep"]).alias("u"), F.greatest("hub", first["rep"]).alias("v")).distinct(), "tried")
     stars = components(confirm(tried, texts), "round1")
 
     # Round 2: pairs of different components in one bucket.
