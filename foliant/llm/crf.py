@@ -73,7 +73,7 @@ def emissions(model: Crf, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(x.reshape(len(x), -1).max(axis=1), 1e-300).reshape((-1,) + (1,) * (x.ndim - 1))
+    return x / np.maximum(x.max(axis=tuple(range(1, x.ndim)), keepdims=True, initial=0.0), 1e-300)
 
 
 def posteriors(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> np.ndarray:
