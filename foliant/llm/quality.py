@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import SPACE, WORD, fresh, int_array, words
+from foliant.llm.common import SPACE, WORD, fresh, int_array, pinned, words
 
 #: Common words of each language.
 LEXICON = {
@@ -199,4 +199,4 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules
         best["word_distance"].alias("word_distance"),
         best["language"].alias("language"),
     )
-    return out.withColumn(column, verdict).drop(*name.values())
+    return out.withColumn(column, pinned(verdict)).drop(*name.values())

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import fresh
+from foliant.llm.common import fresh, pinned
 
 SCOPE = 200
 
@@ -109,7 +109,7 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     kept = F.when(F.size(every) == 0, every).otherwise(F.filter(every, linked))
     value = lambda x: F.substr(F.col(names["scanned"]), x["start"] + 1, x["stop"] - x["start"])
     spans = F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), value(x).alias("value")))
-    return out.withColumn(names["secrets"], spans).drop(*(names[n] for n in ("scanned", "strong", "weak", "all")))
+    return out.withColumn(names["secrets"], pinned(spans)).drop(*(names[n] for n in ("scanned", "strong", "weak", "all")))
 
 
 def spelled(spans: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
