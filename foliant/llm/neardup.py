@@ -9,8 +9,8 @@ each way to leave out that many of its symbols: all pairs under the distance thr
 sets of Jaccard similarity 0.75 exceed that distance with a probability of about 1e-5.
 
 Pairs that meet are not enumerated. First each representative is held against one hub of its
-buckets, confirmed links make components, and then only pairs of different components that share a bucket remain, sieved inside the join by set sizes
-and one-bit sketches. Every link is confirmed on full shingle sets. Components of a bucket that are
+buckets, confirmed links make components, and then only pairs of different components that share a bucket remain. Those with
+one hub are searched in blocks that leave only links; the others are sieved inside the join by set sizes and one-bit sketches. Every link is confirmed on full shingle sets. Components of a bucket that are
 joined already cost nothing, whatever its size, and no pair of different components is lost.
 
 Cost: one scan for signatures (Arrow), one shuffle of ``N_SYMBOLS`` narrow rows for each distinct
@@ -39,6 +39,8 @@ N_SYMBOLS, BITS, N_CHUNKS, MOST_ERRORS = 128, 16, 27, 53
 MOST_SKETCH = 36
 #: Candidate documents are broadcast up to this many rows (16 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Members of a group that meet in one block.
+BLOCK_MEMBERS = 512
 
 _rng = np.random.default_rng(75)
 _A = _rng.integers(1, 2**63, N_SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,6 +123,66 @@ def confirm(pairs: DataFrame, texts: DataFrame, broadcast_rows: int = BROADCAST_
     return both.where(common * 100 >= (F.size("a") + F.size("b") - common) * PERCENT).select("u", "v")
 
 
+LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between components of the members of two blocks of a group (or of one), by an inverted index of their shingles.
+
+    A link inside what earlier links have joined is left out.
+    """
+    reps, comps = table.column("rep").to_numpy(), table.column("c").to_numpy()
+    sides, low, high = table.column("side").to_numpy(), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    lists = table.column("shingles").combine_chunks()
+    values, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    sizes, n = np.diff(bounds), len(reps)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(values, kind="stable")
+    starts = np.searchsorted(values[order], values, side="left")
+    stops = np.searchsorted(values[order], values, side="right")
+    posting = owner[order]
+    names, label = np.unique(comps, return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    # Members of the largest component need no search of their own: the others find them.
+    largest, out = int(np.bincount(label).argmax()), []
+    for x in np.flatnonzero(label != largest):
+        a, b = starts[bounds[x] : bounds[x + 1]], stops[bounds[x] : bounds[x + 1]]
+        runs = b - a
+        where = np.repeat(a - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(int(runs.sum()))
+        common = np.bincount(posting[where], minlength=n)
+        near = common * 100 >= (sizes + sizes[x] - common) * PERCENT
+        for y in np.flatnonzero(near & (label != label[x]) & ((sides != sides[x]) | (low == high))):
+            i, j = root(int(label[x])), root(int(label[y]))
+            if i != j:
+                parent[max(i, j)] = min(i, j)
+                out.append((min(reps[x], reps[y]), max(reps[x], reps[y])))
+    return pa.Table.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], schema=LINKS)
+
+
+def within_groups(members: DataFrame, texts: DataFrame, block: int = BLOCK_MEMBERS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The links (u, v) that join different components c of a group, from members (hub, rep, c).
+
+    A group is cut into blocks of about ``block`` members, and a task holds two blocks, so it is
+    bounded whatever the group's size. Only links leave a task, at most one for each two components.
+    """
+    several = members.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("hub", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    chosen = written(members.join(several, "hub"), "groups")
+    ids = chosen.select(F.col("rep").alias("doc_id")).distinct()
+    few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
+    sets = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_shingle_lists, "rep long, shingles array<long>")
+    side = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    rows = chosen.withColumn("side", side).join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("hub", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep", "c", "shingles")
+    return rows.groupBy("hub", "lo", "hi").applyInArrow(_block_links, "u long, v long")
+
+
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of each row of docs.
 
@@ -154,14 +216,17 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     tried = written(tried.select(F.least("hub", first["rep"]).alias("u"), F.greatest("hub", first["rep"]).alias("v")).distinct(), "tried")
     stars = components(confirm(tried, texts), "round1")
 
-    # Round 2: pairs of different components in one bucket.
+    # Round 2: pairs of different components that meet, first those of one hub, then the others.
     labelled = met.select("key", "rep").join(stars.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    open_ = written(labelled.join(mixed, "key").join(small, "rep").select("key", "rep", "c", "n", "s1", "s2"), "open")
+    group = written(first.select("rep", "hub").join(first.select(F.col("hub").alias("rep"), F.lit(True).alias("leads")).distinct(), "rep", "full_outer").select("rep", F.when(F.col("leads"), F.col("rep")).otherwise(F.col("hub")).alias("hub")), "groups")
+    open_ = labelled.join(mixed, "key").join(small, "rep").join(group, "rep")
+    open_ = written(open_.select("key", "rep", "c", "hub", "n", "s1", "s2"), "open")
+    inside = within_groups(open_.select("hub", "rep", "c").distinct(), texts)
     x, y = open_.alias("a"), open_.alias("b")
-    across = x.join(y, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & sieve)
+    across = x.join(y, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & (F.col("a.hub") != F.col("b.hub")) & sieve)
     across = across.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    more = confirm(written(across, "across"), texts)
+    more = confirm(written(across, "across"), texts).union(inside)
     joined = components(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "round2")
 
     by_class = reps.select("fp", F.col("doc_id").alias("rep")).join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
