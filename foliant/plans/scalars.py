@@ -202,7 +202,7 @@ CITED = [
     (1, 1, "Under FRE 403(b)(1) and FRCP 26 the court cited Fed. R. Civ. P. 12(b)(6). Then Rule 56(c) applied."),
     (2, 1, "The Fifth Amendment and the Twenty-first Amendment; U.S. Const. art. III, § 2 governs. See 28 U.S.C. § 1331."),
     (3, 2, "Federal Rules of Evidence 801(d) and federal rule of civil procedure 30(b)(6). Model Rule 3.4(c)(1) too. FRE 404"),
-    (4, 2, "In Smith v. Jones, 410 U.S. 113 (1973), the court held. Later Rule 11 was raised far away from any other thing in the text."),
+    (4, 2, "Smith v. Jones, 410 U.S. 113 (1973), the court held. Later Rule 11 was raised far away from any other thing in the text."),
     (5, 3, "no citation here"), (6, 3, "fre 403 is low case; FRE403 is not spaced"), (7, 3, "FRE 403, then Rule 404(a) at once and again FRE 403."),
 ]
 
