@@ -41,9 +41,9 @@ def merge_spaced(statutes: DataFrame) -> DataFrame:
 
 
 def short_forms(cites: DataFrame) -> DataFrame:
-    """Short citations with the full one before them in their chapter; cites (chapter, at, is_full, name). Without one they are orphans (null)."""
-    before = Window.partitionBy("chapter").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return cites.withColumn("antecedent", F.last(F.when(F.col("is_full"), F.col("name")), ignorenulls=True).over(before)).where(~F.col("is_full")).select("chapter", "at", "name", "antecedent")
+    """Short citations with the full one before them in their chapter; cites (chapter, place, is_full, name). Without one they are orphans (null)."""
+    before = Window.partitionBy("chapter").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return cites.withColumn("antecedent", F.last(F.when(F.col("is_full"), F.col("name")), ignorenulls=True).over(before)).where(~F.col("is_full")).select("chapter", "place", "name", "antecedent")
 
 
 def counters(found: DataFrame) -> DataFrame:

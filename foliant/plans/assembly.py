@@ -124,10 +124,10 @@ def spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.merge_spaced(literal(spark, _STATUTES, "ordinal int, canonical string, page int"))
 
 
-@query("cit09_short_forms", "WITH c AS (SELECT CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS chapter, doc_id AS "at", doc_id % 4 = 0 AS is_full, 'c' || doc_id AS name FROM documents), l AS (SELECT *, last_value(CASE WHEN is_full THEN name END IGNORE NULLS) OVER (PARTITION BY chapter ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS antecedent FROM c) SELECT chapter, "at", name, antecedent FROM l WHERE NOT is_full")
+@query("cit09_short_forms", "WITH c AS (SELECT CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS chapter, doc_id AS place, doc_id % 4 = 0 AS is_full, 'c' || doc_id AS name FROM documents), l AS (SELECT *, last_value(CASE WHEN is_full THEN name END IGNORE NULLS) OVER (PARTITION BY chapter ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS antecedent FROM c) SELECT chapter, place, name, antecedent FROM l WHERE NOT is_full")
 def short_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return B.short_forms(docs.select(F.regexp_extract("source", "([0-9]+)$", 1).cast("int").alias("chapter"), F.col("doc_id").alias("at"), (F.col("doc_id") % 4 == 0).alias("is_full"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("name")))
+    return B.short_forms(docs.select(F.regexp_extract("source", "([0-9]+)$", 1).cast("int").alias("chapter"), F.col("doc_id").alias("place"), (F.col("doc_id") % 4 == 0).alias("is_full"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("name")))
 
 
 @query("asm05_subdivide")
