@@ -38,7 +38,7 @@ def _sql_normalize(s: str) -> str:
 
 
 def _sql_lemma(w: str) -> str:
-    return f"CASE WHEN length({w}) > 4 AND {w} LIKE '%ies' THEN {w}[:-4] || 'y' WHEN length({w}) > 4 AND regexp_matches({w}, '(s|x|z|ch|sh)es$') THEN {w}[:-3] WHEN length({w}) > 3 AND {w} LIKE '%s' AND {w} NOT LIKE '%ss' THEN {w}[:-2] ELSE {w} END"
+    return f"CASE WHEN length({w}) > 4 AND {w} LIKE '%ies' THEN {w}[:-4] || 'y' WHEN length({w}) > 4 AND regexp_matches({w}, '(ss|x|z|ch|sh)es$') THEN {w}[:-3] WHEN length({w}) > 3 AND {w} LIKE '%s' AND {w} NOT LIKE '%ss' THEN {w}[:-2] ELSE {w} END"
 
 
 def _sql_article(s: str) -> str:
