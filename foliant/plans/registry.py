@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import assembly, indexing, layouts, scalars  # noqa: F401  they register their queries
+from foliant.plans import assembly, indexing, layouts, more, scalars  # noqa: F401  they register their queries
 from foliant.plans.base import ORACLES, QUERIES, Query
 
 
