@@ -279,7 +279,7 @@ def brute_components(rows):
 def test_near_duplicates(spark, docs, monkeypatch):
     want = brute_components(DOCS)
     for block in (neardup.BLOCK_MEMBERS, 3):  # few and many blocks
-        monkeypatch.setattr(neardup.within_groups, "__defaults__", (block, neardup.BROADCAST_ROWS))
+        monkeypatch.setattr(neardup.within_families, "__defaults__", (block, neardup.BROADCAST_ROWS))
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.linked(docs).collect()}
         assert got == want
     assert {r["doc_id"] for r in neardup.deduplicated(docs).collect()} == {i for i, (_, c) in want.items() if i == c}
