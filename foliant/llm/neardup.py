@@ -9,9 +9,12 @@ each way to leave out that many of its symbols: all pairs under the distance thr
 sets of Jaccard similarity 0.75 exceed that distance with a probability of about 1e-5.
 
 Pairs that meet are not enumerated. First each representative is held against one hub of its
-buckets, confirmed links make components, and then only pairs of different components that share a bucket remain. Those with
-one hub are searched in blocks that leave only links; the others are sieved inside the join by set sizes and one-bit sketches. Every link is confirmed on full shingle sets. Components of a bucket that are
-joined already cost nothing, whatever its size, and no pair of different components is lost.
+buckets, confirmed links make components, and then only pairs of different components that share a
+bucket remain. Those of
+one family (joined by their hubs, confirmed or not) are searched in blocks that leave only links; the others are sieved inside the join by set sizes
+and by the last four bits of their symbols, and then by the distance of their signatures. Every link is confirmed on
+full shingle sets. Components of a bucket that are joined already cost nothing, whatever its size,
+and no pair of different components is lost.
 
 Cost: one scan for signatures (Arrow), one shuffle of ``N_SYMBOLS`` narrow rows for each distinct
 set, and a scan of the documents in candidate pairs for their sets.
@@ -35,11 +38,11 @@ from foliant.llm.tokens import chain, mix, pieces, shingle_hashes, text_bytes, w
 SHINGLE = 5
 PERCENT = 75
 N_SYMBOLS, BITS, N_CHUNKS, MOST_ERRORS = 128, 16, 27, 53
-#: Of 128 one-bit symbols, pairs of similarity 0.75 differ in 16 on average; more than this has a probability below 1e-6.
-MOST_SKETCH = 36
+#: The last four bits of each symbol, as long integers: where they differ the symbols differ.
+SKETCH = tuple(f"s{i}" for i in range(N_SYMBOLS * 4 // 64))
 #: Candidate documents are broadcast up to this many rows (16 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Members of a group that meet in one block.
+#: Members of a family that meet in one block.
 BLOCK_MEMBERS = 512
 
 _rng = np.random.default_rng(75)
@@ -65,17 +68,19 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), *((c, pa.int64()) for c in SKETCH), ("sig", pa.binary())])
     for batch in batches:
         for piece in pieces(batch, "text"):
             rows = []
             for doc_id, s in zip(piece.column("doc_id").to_pylist(), _sets(piece), strict=True):
                 if not len(s):
-                    rows.append((doc_id, 0, None, 0, 0, None))
+                    rows.append((doc_id, 0, None, *(0 for _ in SKETCH), None))
                     continue
                 full = signature(s)
-                bits = np.packbits((full >> np.uint64(63)).astype(np.uint8)).view(np.int64)
-                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), int(bits[0]), int(bits[1]), (full & np.uint64(0xFFFF)).astype(np.uint16).tobytes()))
+                symbols = (full & np.uint64(0xFFFF)).astype(np.uint16)
+                low = (symbols & 0xF).astype(np.uint8)
+                sketch = (low[::2] << 4 | low[1::2]).view(np.int64).tolist()
+                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), *sketch, symbols.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
@@ -105,7 +110,20 @@ def _shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _sketch_apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
+    """In how many symbols the last four bits differ: never more than the distance of the signatures."""
+
+    def fours(x: Column) -> Column:
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        return F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+
+    first, *rest = (fours(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH)
+    return sum(rest, first)
+
+
+def _symbols_apart(a: Column, b: Column) -> Column:
+    """The Hamming distance of two signatures in symbols."""
+    own = lambda sig, i: F.substring(sig, 2 * i + 1, F.lit(2))
+    return F.size(F.filter(F.sequence(F.lit(0), F.lit(N_SYMBOLS - 1)), lambda i: own(a, i) != own(b, i)))
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -127,7 +145,7 @@ LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def _block_links(table: pa.Table) -> pa.Table:
-    """Links between components of the members of two blocks of a group (or of one), by an inverted index of their shingles.
+    """Links between components of the members of two blocks of a family (or of one), by an inverted index of their shingles.
 
     A link inside what earlier links have joined is left out.
     """
@@ -166,21 +184,21 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], schema=LINKS)
 
 
-def within_groups(members: DataFrame, texts: DataFrame, block: int = BLOCK_MEMBERS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The links (u, v) that join different components c of a group, from members (hub, rep, c).
+def within_families(members: DataFrame, texts: DataFrame, block: int = BLOCK_MEMBERS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The links (u, v) that join different components c of a family, from members (family, rep, c).
 
-    A group is cut into blocks of about ``block`` members, and a task holds two blocks, so it is
-    bounded whatever the group's size. Only links leave a task, at most one for each two components.
+    A family is cut into blocks of about ``block`` members, and a task holds two blocks, so it is
+    bounded whatever the family's size. Only links leave a task, at most one for each two components.
     """
-    several = members.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("hub", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    chosen = written(members.join(several, "hub"), "groups")
+    several = members.groupBy("family").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("family", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    chosen = written(members.join(several, "family"), "groups")
     ids = chosen.select(F.col("rep").alias("doc_id")).distinct()
     few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
     sets = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_shingle_lists, "rep long, shingles array<long>")
     side = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     rows = chosen.withColumn("side", side).join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("hub", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep", "c", "shingles")
-    return rows.groupBy("hub", "lo", "hi").applyInArrow(_block_links, "u long, v long")
+    rows = rows.select("family", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep", "c", "shingles")
+    return rows.groupBy("family", "lo", "hi").applyInArrow(_block_links, "u long, v long")
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,10 +209,10 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     one shingle. An empty table gives an empty result.
     """
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    every = written(texts.mapInArrow(_signatures, "doc_id long, n long, fp binary, s1 long, s2 long, sig binary"), "signatures")
+    every = written(texts.mapInArrow(_signatures, f"doc_id long, n long, fp binary, {', '.join(f'{c} long' for c in SKETCH)}, sig binary"), "signatures")
     usable = every.where("fp IS NOT NULL AND doc_id IS NOT NULL")
-    reps = written(usable.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "s1", "s2", "sig")).alias("x")).select("fp", "x.*"), "reps")
-    small = reps.select(F.col("doc_id").alias("rep"), "n", "s1", "s2")
+    reps = written(usable.groupBy("fp").agg(F.min(F.struct("doc_id", "n", *SKETCH, "sig")).alias("x")).select("fp", "x.*"), "reps")
+    small = reps.select(F.col("doc_id").alias("rep"), "n", *SKETCH)
 
     # Buckets of one member go; neighbours in a bucket tell, so no bucket is held.
     keys = reps.select("doc_id", "sig").mapInArrow(_keys, "key long, rep long")
@@ -211,22 +229,26 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     often = hubs.where("hub <> rep").groupBy("rep", "hub").agg(F.count("*").alias("times"))
     first = often.groupBy("rep").agg(F.max(F.struct("times", (-F.col("hub")).alias("less"))).alias("x")).select("rep", (-F.col("x.less")).alias("hub"))
     a, b = small.alias("a"), small.alias("b")
-    sieve = _sizes_fit(F.col("a.n"), F.col("b.n")) & (_sketch_apart("a", "b") <= MOST_SKETCH)
+    sieve = _sizes_fit(F.col("a.n"), F.col("b.n")) & (_sketch_apart("a", "b") <= MOST_ERRORS)
     tried = first.join(a, F.col("a.rep") == first["rep"]).join(b, F.col("b.rep") == first["hub"]).where(sieve)
     tried = written(tried.select(F.least("hub", first["rep"]).alias("u"), F.greatest("hub", first["rep"]).alias("v")).distinct(), "tried")
     stars = components(confirm(tried, texts), "round1")
 
-    # Round 2: pairs of different components that meet, first those of one hub, then the others.
+    # Round 2: pairs of different components that meet, first those of one family, then the others.
     labelled = met.select("key", "rep").join(stars.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    group = written(first.select("rep", "hub").join(first.select(F.col("hub").alias("rep"), F.lit(True).alias("leads")).distinct(), "rep", "full_outer").select("rep", F.when(F.col("leads"), F.col("rep")).otherwise(F.col("hub")).alias("hub")), "groups")
-    open_ = labelled.join(mixed, "key").join(small, "rep").join(group, "rep")
-    open_ = written(open_.select("key", "rep", "c", "hub", "n", "s1", "s2"), "open")
-    inside = within_groups(open_.select("hub", "rep", "c").distinct(), texts)
+    # A family: representatives joined by their hubs, confirmed or not, if sizes and sketches fit.
+    family = components(tried, "families").select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    open_ = labelled.join(mixed, "key").join(small, "rep").join(family, "rep", "left").withColumn("family", F.coalesce("family", "rep"))
+    open_ = written(open_.select("key", "rep", "c", "family", "n", *SKETCH), "open")
+    inside = within_families(open_.select("family", "rep", "c").distinct(), texts)
     x, y = open_.alias("a"), open_.alias("b")
-    across = x.join(y, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & (F.col("a.hub") != F.col("b.hub")) & sieve)
+    across = x.join(y, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")) & (F.col("a.family") != F.col("b.family")) & sieve)
     across = across.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    more = confirm(written(across, "across"), texts).union(inside)
+    across = written(across, "across")
+    sigs = reps.select(F.col("doc_id").alias("rep"), "sig")
+    apart = across.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("a")), "u").join(sigs.select(F.col("rep").alias("v"), F.col("sig").alias("b")), "v").where(_symbols_apart(F.col("a"), F.col("b")) <= MOST_ERRORS)
+    more = confirm(written(apart.select("u", "v"), "near"), texts).union(inside)
     joined = components(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "round2")
 
     by_class = reps.select("fp", F.col("doc_id").alias("rep")).join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
