@@ -24,6 +24,11 @@ LEAD_VERBS = (
 HEADING_STOPS = "a an the of to and or in for with on as by at is are".split()
 
 
+def pinned(column: Column) -> Column:
+    """The same column, kept out of the filters that Catalyst infers from an explode, so it is computed once."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space, in the Unicode sense, become one space; none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

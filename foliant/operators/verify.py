@@ -44,8 +44,8 @@ def hits(pages: DataFrame, terms: DataFrame, variants: DataFrame | None = None)
     alts = alternatives(terms, variants)
     few = alts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     send = F.broadcast if few else (lambda df: df)
-    rows = pages.select("pdf_page", "norms", F.posexplode(F.transform("norms", lambda w: F.struct(w.alias("norm"), T.lemma(w).alias("lemma")))).alias("pos", "w"))
-    tokens = rows.select("pdf_page", "pos", F.col("w.norm").alias("norm"), F.col("w.lemma").alias("lemma"))
+    rows = pages.select("pdf_page", T.pinned(F.col("norms")).alias("w")).select("pdf_page", F.posexplode("w").alias("pos", "norm"))
+    tokens = rows.select("pdf_page", "pos", "norm", T.lemma(F.col("norm")).alias("lemma"))
     # The longest word of an alternative stands for its rarest: no pass over the corpus is needed to find it.
     place = F.array_position(F.transform("words", F.length), F.array_max(F.transform("words", F.length))) - 1
     anchored = alts.select("term", "rank", "mode", "words", place.cast("int").alias("place")).withColumn("anchor", F.get("words", F.col("place")))

@@ -80,7 +80,8 @@ def token_rows(text: Column) -> Column:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pdf_page, token_index, text, norm, lemma, block_type): no shuffle, a page is split in its row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    flat = docs.select(F.col("doc_id").alias("pdf_page"), F.posexplode(token_rows(F.col("text"))).alias("token_index", "t"))
+    rows = docs.select(F.col("doc_id").alias("pdf_page"), T.pinned(token_rows(F.col("text"))).alias("rows"))
+    flat = rows.select("pdf_page", F.posexplode("rows").alias("token_index", "t"))
     norm = F.lower("t.text")
     return flat.select("pdf_page", "token_index", F.col("t.text").alias("text"), norm.alias("norm"), T.lemma(norm).alias("lemma"), F.when(F.col("t.body"), "body").otherwise("footnote").alias("block_type"))
 
