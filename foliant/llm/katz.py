@@ -15,9 +15,8 @@ its followers, which make alpha(h); and for held-out documents what still needs
 second shuffle, by context, answers that. Scores are then sums of few terms for each document.
 
 Occurrences travel in blocks, with words and contexts numbered inside the block, at about 8 bytes
-each. Blocks of one deal and partition are decoded together, so the number of partitions bounds the
-memory of a task; a hot word is dealt over several partitions by context only where contexts need
-not meet, that is, never, but its occurrences are combined in each block, document by document.
+each. A task holds the blocks of its partition packed, and decodes a slice of contexts at a time, so
+a hot word does not cost memory for its occurrences but 8 bytes each.
 """
 
 from __future__ import annotations
@@ -37,7 +36,11 @@ from foliant.llm.tokens import mix, pieces, text_bytes, word_hashes, word_spans
 MOST_DISCOUNTED = 5
 #: Occurrences in a partition of the word deal, about.
 PART_TOKENS = 4_000_000
-BLOCK_TOKENS = 1_200_000
+BLOCK_TOKENS = 400_000
+#: Occurrences that a task holds decoded at a time, about.
+SLICE_TOKENS = 400_000
+#: Words and documents of blocks that are merged at a time.
+MERGE_ROWS = 500_000
 #: Hashes that stand for the end token and the start context.
 END, BEGIN = np.uint64(0x656E64), np.uint64(0x626567)
 
@@ -68,8 +71,8 @@ def _pack(arrays: list[np.ndarray]) -> bytes:
     return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
 
-def _unpack(block: bytes) -> list[np.ndarray]:
-    body = pa.decompress(block[8:], int.from_bytes(block[:8], "little"), codec="zstd", asbytes=True)
+def _unpack(block: pa.Buffer) -> list[np.ndarray]:
+    body = pa.decompress(block.slice(8), int.from_bytes(block.slice(0, 8).to_pybytes(), "little"), codec="zstd", asbytes=True)
     at, out = 0, []
     while at < len(body):
         n, size = int.from_bytes(body[at : at + 8], "little"), body[at + 8]
@@ -93,10 +96,11 @@ def _deal(parts: int):
             context, word, doc = (np.concatenate([h[i] for h in held]) for i in range(3))
             rows = np.concatenate([h[3] for h in held])
             train = np.concatenate([h[4] for h in held])
-            part = (word >> np.uint64(20)) % np.uint64(parts)
-            order = np.lexsort((doc, word, part))
+            held.clear()
+            part = ((word >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+            order = np.lexsort((doc, word, part)).astype(np.int32)
             context, word, doc, part = context[order], word[order], doc[order], part[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+            cuts = np.searchsorted(part, np.arange(parts + 1))
             ids, blocks = [], []
             for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if a == b:
@@ -114,11 +118,11 @@ def _deal(parts: int):
             for piece in pieces(batch, "text"):
                 raw, offsets = text_bytes(piece.column("text"))
                 context, word, doc = _occurrences(raw, offsets)
-                held.append((context, word, doc + docs, piece.column("row").to_numpy().astype(np.int64), piece.column("train").to_numpy(zero_copy_only=False).astype(bool)))
+                held.append((context, word, (doc + docs).astype(np.int32), piece.column("row").to_numpy().astype(np.int64), piece.column("train").to_numpy(zero_copy_only=False).astype(bool)))
                 docs, size = docs + len(piece), size + len(word)
                 if size > BLOCK_TOKENS:
                     yield flush()
-                    held, size, docs = [], 0, 0
+                    size, docs = 0, 0
         if held:
             yield flush()
 
@@ -143,76 +147,103 @@ def _out(kind: int, n: int, **columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([column(c) for c in OUT_NAMES], names=OUT_NAMES)
 
 
-def _sums(ids: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
-    return np.bincount(ids, weights, n)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What word partitions know; the rows (part, block) come in order of part."""
+    held, blocks = None, []
+    for batch in batches:
+        for part, block in zip(batch.column("part").to_pylist(), batch.column("block"), strict=True):
+            if part != held and blocks:
+                yield from _count_part(blocks)
+                blocks = []
+            held = part
+            # A view of the batch: packed blocks are not copied.
+            blocks.append(block.as_buffer())
+    if blocks:
+        yield from _count_part(blocks)
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """All that one word partition knows."""
-    word, context, doc, train = [], [], [], []
-    for block in table.column("block"):
-        w, runs, contexts, number, rows, own_train, place = _unpack(block.as_py())
-        word.append(np.repeat(w, runs))
-        context.append(contexts[number])
-        doc.append(rows[place])
-        train.append(own_train[place].astype(bool))
-    word, context, doc, train = (np.concatenate(x) for x in (word, context, doc, train))
-    words, w_of = np.unique(word, return_inverse=True)
-    c_word = np.bincount(w_of[train], minlength=len(words))
-    # A bigram is its context and the number of its word: equal pairs stand together when sorted.
+def _count_part(blocks: list[pa.Buffer]) -> Iterator[pa.RecordBatch]:
+    """All that one word partition knows.
+
+    Word counts come first. Then contexts are taken in slices, by hash, of about SLICE_TOKENS
+    occurrences: a slice holds all occurrences of its bigrams, so a hot word costs time, not memory.
+    """
+    words, counts, n_tokens, docs = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, np.zeros(0, np.uint64)
+    new_words, new_counts, new_docs, size = [], [], [], 0
+    for i, block in enumerate(blocks):
+        w, runs, _, _, rows, train, place = _unpack(block)
+        n_tokens += len(place)
+        new_words.append(w)
+        new_counts.append(np.add.reduceat(train[place].astype(np.int64), np.concatenate([[0], np.cumsum(runs)[:-1]]).astype(np.int64)))
+        new_docs.append(rows)
+        size += len(w) + len(rows)
+        if size > MERGE_ROWS or i + 1 == len(blocks):
+            both, inverse = np.unique(np.concatenate([words, *new_words]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([counts, *new_counts]), len(both)).astype(np.int64)
+            words, docs = both, np.unique(np.concatenate([docs, *new_docs]))
+            new_words, new_counts, new_docs, size = [], [], [], 0
+    n, k = len(docs), MOST_DISCOUNTED
+    sums = {name: np.zeros(n) for name in (*(f"n{i}" for i in range(1, k + 2)), "base", "ctx_log", "known", "tokens")}
+    of_counts = np.zeros(k + 2, np.int64)
+    slices = -(-n_tokens // SLICE_TOKENS)
+    for s in range(slices):
+        yield from _slice(blocks, s, slices, words, counts, docs, sums, of_counts)
+    yield _out(0, n, key=docs, **sums)
+    yield _out(3, 1, **{f"n{i}": of_counts[i : i + 1] for i in range(1, k + 2)}, known=np.array([(counts > 0).sum()]), tokens=np.array([counts.sum()]))
+
+
+def _slice(blocks: list[pa.Buffer], s: int, slices: int, words: np.ndarray, counts: np.ndarray, docs: np.ndarray, sums: dict, of_counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Adds what the bigrams of a slice of contexts bring to the sums, and gives the rows for its contexts."""
+    w_of, context, d_of, train, n, k = [], [], [], [], len(docs), MOST_DISCOUNTED
+    for block in blocks:
+        w, runs, contexts, number, rows, own_train, place = _unpack(block)
+        mine = np.flatnonzero((mix(contexts) % np.uint64(slices) == s)[number])
+        w_of.append(np.repeat(np.searchsorted(words, w).astype(np.int32), runs)[mine])
+        context.append(contexts[number[mine]])
+        d_of.append(np.searchsorted(docs, rows).astype(np.int32)[place[mine]])
+        train.append(own_train[place[mine]].astype(bool))
+    w_of, context, d_of, train = (np.concatenate(x) for x in (w_of, context, d_of, train))
+    if not len(w_of):
+        return
+    # Equal bigrams stand together when sorted.
     order = np.lexsort((context, w_of))
-    w_of, context, doc, train = w_of[order], context[order], doc[order], train[order]
-    new = np.concatenate([[True], (w_of[1:] != w_of[:-1]) | (context[1:] != context[:-1])])
-    bigram = np.cumsum(new) - 1
-    c_bigram = np.bincount(bigram[train], minlength=int(bigram[-1]) + 1)
-    first = np.flatnonzero(new)
-    big_context, big_word = context[first], w_of[first]
-    c, c_w = c_bigram[bigram], c_word[w_of]
-    seen = c > 0
-    docs, d_of = np.unique(doc, return_inverse=True)
-    n = len(docs)
-    k = MOST_DISCOUNTED
-    is_end = words[w_of] == END
-    log_uni = np.log10(c_w + 1.0)
+    w_of, context, d_of, train = w_of[order], context[order], d_of[order], train[order]
+    first = np.flatnonzero(np.concatenate([[True], (w_of[1:] != w_of[:-1]) | (context[1:] != context[:-1])]))
+    c_bigram = np.add.reduceat(train.astype(np.int64), first)
+    c = np.repeat(c_bigram, np.diff(np.append(first, len(w_of))))
+    c_w = counts[w_of]
+    seen, log_uni = c > 0, np.log10(c_w + 1.0)
+    for i in range(1, k + 1):
+        sums[f"n{i}"] += np.bincount(d_of[c == i], minlength=n)
+        of_counts[i] += (c_bigram == i).sum()
+    of_counts[k + 1] += (c_bigram == k + 1).sum()
+    sums[f"n{k + 1}"] += np.bincount(d_of[~seen], minlength=n)
+    high = c > k
+    sums["ctx_log"] += np.bincount(d_of[high], np.log10(c[high]), n)
+    sums["base"] += np.bincount(d_of, log_uni, n)
     # As a context of the next token, a training word brings -log (c(w) + 1); so does the start, once for each document.
-    as_context = np.where(train & ~is_end, -np.log10(c_w + 1.0), 0.0)
-    out = [
-        _out(
-            0,
-            n,
-            key=docs,
-            **{f"n{i}": _sums(d_of, n, (c == i)) for i in range(1, k + 1)},
-            **{f"n{k + 1}": _sums(d_of, n, ~seen)},
-            big=_sums(d_of, n, np.where(c > k, np.log10(np.maximum(c, 1)), 0.0)),
-            base=_sums(d_of, n, log_uni),
-            ctx_log=_sums(d_of, n, np.where(seen, 0.0, log_uni) + as_context),
-            known=_sums(d_of, n, c_w > 0),
-            tokens=_sums(d_of, n),
-        )
-    ]
+    inner = train & (words[w_of] != END)
+    sums["ctx_log"] += np.bincount(d_of[~seen], log_uni[~seen], n) - np.bincount(d_of[inner], log_uni[inner], n)
+    sums["known"] += np.bincount(d_of[c_w > 0], minlength=n)
+    sums["tokens"] += np.bincount(d_of, minlength=n)
     held = c_bigram > 0
-    contexts, h_of = np.unique(big_context[held], return_inverse=True)
+    contexts, h_of = np.unique(context[first][held], return_inverse=True)
     m, cb = len(contexts), c_bigram[held]
-    out.append(
-        _out(
-            1,
-            m,
-            ctx=contexts,
-            **{f"n{i}": _sums(h_of, m, cb == i) for i in range(1, k + 1)},
-            big=_sums(h_of, m, np.where(cb > k, cb, 0)),
-            uni=_sums(h_of, m, c_word[big_word[held]] + 1.0),
-        )
+    yield _out(
+        1,
+        m,
+        ctx=contexts,
+        **{f"n{i}": np.bincount(h_of, cb == i, m) for i in range(1, k + 1)},
+        big=np.bincount(h_of, np.where(cb > k, cb, 0), m),
+        uni=np.bincount(h_of, counts[w_of[first][held]] + 1.0, m),
     )
     # Held-out documents need -log (c(h) + 1) for each bigram seen and log alpha(h) for each not seen.
-    open_ = ~train
-    if open_.any():
-        pair = np.lexsort((d_of[open_], context[open_]))
-        pc, pd, ps = context[open_][pair], d_of[open_][pair], seen[open_][pair]
+    open_ = np.flatnonzero(~train)
+    if len(open_):
+        pair = open_[np.lexsort((d_of[open_], context[open_]))]
+        pc, pd, ps = context[pair], d_of[pair], seen[pair]
         begin = np.flatnonzero(np.concatenate([[True], (pc[1:] != pc[:-1]) | (pd[1:] != pd[:-1])]))
-        out.append(_out(2, len(begin), key=docs[pd[begin]], ctx=pc[begin], seen=np.add.reduceat(ps.astype(np.int64), begin), n1=np.add.reduceat((~ps).astype(np.int64), begin)))
-    of_counts = {f"n{i}": np.array([(c_bigram == i).sum()]) for i in range(1, k + 2)}
-    out.append(_out(3, 1, **of_counts, known=np.array([(c_word > 0).sum()]), tokens=np.array([c_word.sum()])))
-    return pa.Table.from_batches(out)
+        yield _out(2, len(begin), key=docs[pd[begin]], ctx=pc[begin], seen=np.add.reduceat(ps.astype(np.int64), begin), n1=np.add.reduceat((~ps).astype(np.int64), begin))
 
 
 def discounts(of_counts: list[int]) -> list[float]:
@@ -249,7 +280,7 @@ class Model:
 def count(texts: DataFrame, parts: int) -> Model:
     """The model of the rows (row, text, train) with train true; its table also holds the sums of all rows."""
     dealt = texts.mapInArrow(_deal(parts), "part int, block binary")
-    table = written(dealt.repartition(parts, "part").groupBy("part").applyInArrow(_count, OUT_DDL), "katz")
+    table = written(dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_count, OUT_DDL), "katz")
     k = MOST_DISCOUNTED
     whole = table.where("kind = 3").agg(F.sum("tokens"), F.sum("known"), *(F.sum(f"n{i}") for i in range(1, k + 2))).first()
     return Model(table, whole[0] or 0, whole[1] or 0, discounts([x or 0 for x in whole[2:]]))
@@ -261,20 +292,19 @@ def scored(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     A null text is empty and has only its end token. Equal rows get equal scores, and each counts in
     training. Without training rows all is unknown. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), F.xxhash64(F.col(key), F.col(text)).alias("row"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 6 / part_tokens))
+    parts = max(12, math.ceil(size / 6 / part_tokens))
     model = count(own.select("row", "text", "train"), parts)
     k, d = MOST_DISCOUNTED, model.discount
-    sums = model.table.where("kind = 0").groupBy(F.col("key").alias("row")).agg(*(F.sum(c).alias(c) for c in (*(f"n{i}" for i in range(1, k + 2)), "big", "base", "ctx_log", "known", "tokens")))
+    sums = model.table.where("kind = 0").groupBy(F.col("key").alias("row")).agg(*(F.sum(c).alias(c) for c in (*(f"n{i}" for i in range(1, k + 2)), "base", "ctx_log", "known", "tokens")))
     needs = model.table.where("kind = 2").groupBy("ctx", F.col("key").alias("row")).agg(F.sum("seen").alias("seen"), F.sum("n1").alias("unseen"))
     answer = needs.join(model.contexts(), "ctx", "left")
     late = answer.groupBy("row").agg(F.sum(F.when(F.col("seen") > 0, -F.col("seen") * F.log10(F.col("c") + 1)).otherwise(0.0) + F.when((F.col("unseen") > 0) & F.col("alpha").isNotNull(), F.col("unseen") * F.log10("alpha")).otherwise(0.0)).alias("late"))
     n_train = model.table.where(F.col("kind") == 1).where(F.col("ctx") == int(BEGIN)).agg(sum((F.sum(f"n{i}") * i for i in range(1, k + 1)), F.sum("big"))).first()[0] or 0
     log_v = math.log10(model.n + model.v + 1)
     copies = own.groupBy("row").agg(F.count("*").alias("copies"), F.first("train").alias("row_train"))
-    score = sum((F.col(f"n{i}") * math.log10(i * d[i - 1]) for i in range(1, k + 1)), F.col("big") + F.col("ctx_log") - F.col(f"n{k + 1}") * log_v)
+    score = sum((F.col(f"n{i}") * math.log10(i * d[i - 1]) for i in range(1, k + 1)), F.col("ctx_log") - F.col(f"n{k + 1}") * log_v)
     score = score + F.coalesce("late", F.lit(0.0)) - F.when(F.col("row_train"), F.col("copies") * math.log10(n_train + 1)).otherwise(0.0)
     each = sums.join(late, "row", "left").join(copies, "row").select(
         "row",
