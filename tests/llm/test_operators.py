@@ -81,6 +81,17 @@ def test_quality_rejects_symbols_and_keeps_prose(spark):
     assert kept == {i for i, _, _ in clean}
 
 
+def test_quality_rejects_word_salad(spark):
+    """Invented words joined by ' | ' look like prose by their characters; only the common words tell."""
+    rng = np.random.default_rng(2)
+    prose = lambda n: " ".join(str(rng.choice(VOCABULARY["en"][:10])) if rng.random() < 0.2 else "".join(rng.choice(list("abcdefghilmnoprstu"), 6)) for _ in range(n))
+    salad = lambda n: "".join("".join(rng.choice(list("abcdefghilmnoprstu"), 7)) + (" | " if i % 4 == 0 else " ") for i in range(n))
+    rows = [(i, prose(200), "en") for i in range(30)] + [(100 + i, salad(80 + i), "en") for i in range(5)]
+    judged = {r["doc_id"]: r["quality"] for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(judged[100 + i]["class_distance"] < quality.Rules().class_distance for i in range(5))
+    assert {i for i, q in judged.items() if q["kept"]} == set(range(30))
+
+
 def test_language(spark, docs):
     out = {r["doc_id"]: r for r in crf.labelled(docs, F.crc32(F.col("doc_id").cast("string")) % 4 != 2).collect()}
     assert len(out) == len(DOCS)
