@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,16 +47,24 @@ def crowded(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("degree")).where(F.col("degree") > most)
 
 
-def on_cycles(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def _settled(df: DataFrame) -> DataFrame:
+    """df kept in the checkpoint folder, so that a loop's plan does not grow."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-"))
+    return df.checkpoint()
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
     """Edges left once nodes without outgoing or incoming edges have been peeled off again and again: empty if there is no cycle.
 
     Each round is a semi-join on both sides; it stops when nothing goes, after the longest chain at
     the latest.
     """
-    left = edges.select("src", "dst").distinct()
+    left = _settled(edges.select("src", "dst").distinct())
     n = left.count()
-    for _ in range(rounds):
-        left = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+    while n:
+        left = _settled(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
         now = left.count()
         if now == n:
             break

@@ -119,6 +119,14 @@ def test_cycles(spark):
     assert graph.on_cycles(edges.where("src > 5")).count() == 0
 
 
+def test_cycles_of_a_long_chain(spark):
+    """A chain of 134 edges takes 67 rounds to peel, more than the 64 that were the cap."""
+    chain = [(i, i + 1) for i in range(134)]
+    edges = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    assert graph.on_cycles(edges(chain)).count() == 0
+    assert {tuple(r) for r in graph.on_cycles(edges(chain[:9] + [(900, 901), (901, 900)])).collect()} == {(900, 901), (901, 900)}
+
+
 def test_editorial_rules_are_idempotent(spark):
     from foliant.plans.assembly import _entries, _flat, _rules
 
