@@ -73,10 +73,22 @@ def on_cycles(edges: DataFrame) -> DataFrame:
 
 
 def section_path(spark, sections: DataFrame) -> DataFrame:
-    """(section_id, root, depth) of every section by a recursive walk to the root; sections (section_id, parent_id)."""
-    sections.createOrReplaceTempView("foliant_sections")
-    return spark.sql(
-        "WITH RECURSIVE up(section_id, at, depth) AS (SELECT section_id, section_id, 0 FROM foliant_sections UNION ALL "
-        "SELECT u.section_id, s.parent_id, u.depth + 1 FROM up u JOIN foliant_sections s ON s.section_id = u.at WHERE s.parent_id IS NOT NULL AND u.depth < 5) "
-        "SELECT section_id, max_by(at, depth) AS root, max(depth) AS depth FROM up GROUP BY section_id"
-    )
+    """(section_id, root, depth) of every section; sections (section_id, parent_id). A parent that is no section is a root.
+
+    Hops to a farther ancestor are joined with themselves, so their length doubles in each round, until none
+    leads on. Raises if a cycle is found: hops then outgrow the number of sections.
+    """
+    ids = sections.select("section_id").distinct()
+    hops = _settled(sections.where("parent_id IS NOT NULL").select("section_id", F.col("parent_id").alias("at"), F.lit(1).alias("depth")).distinct())
+    n, reached = hops.count(), 1
+    while n:
+        further = hops.select(F.col("section_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        joined = _settled(hops.join(further, "at", "left"))
+        hops = joined.select("section_id", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        if joined.where("more IS NOT NULL").isEmpty():
+            break
+        if reached > n:
+            raise ValueError("sections have a cycle of parents")
+        reached *= 2
+    ends = hops.groupBy("section_id").agg(F.max_by("at", "depth").alias("at"), F.max("depth").alias("depth"))
+    return ids.join(ends, "section_id", "left").select("section_id", F.coalesce("at", "section_id").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"))

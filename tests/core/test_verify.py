@@ -127,6 +127,15 @@ def test_cycles_of_a_long_chain(spark):
     assert {tuple(r) for r in graph.on_cycles(edges(chain[:9] + [(900, 901), (901, 900)])).collect()} == {(900, 901), (901, 900)}
 
 
+def test_section_path_of_a_deep_chain(spark):
+    ids = [0] + [10**k for k in range(8)]
+    rows = [(i, None if i < 10 else i // 10) for i in ids] + [(77, 70)]  # 70 is no section
+    got = {r["section_id"]: (r["root"], r["depth"]) for r in graph.section_path(spark, spark.createDataFrame(rows, "section_id long, parent_id long")).collect()}
+    assert got == {0: (0, 0), 77: (70, 1)} | {10**k: (1, k) for k in range(8)}
+    with pytest.raises(ValueError, match="cycle"):
+        graph.section_path(spark, spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None)], "section_id long, parent_id long"))
+
+
 def test_editorial_rules_are_idempotent(spark):
     from foliant.plans.assembly import _entries, _flat, _rules
 
