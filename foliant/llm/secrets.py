@@ -6,8 +6,9 @@ when complementary parts lie in the same scope, ``SCOPE`` code points of one tex
 needs a secret, a weak secret needs an identifier, and an endpoint needs both.
 
 The interval join runs inside the row: candidates of a text are sorted by start, and each looks only
-at the neighbours that can start within its scope. Candidates of a kind do not overlap and have a
-least length, so that number is bounded and nothing grows with the square of a text's candidates.
+at the neighbours that can lie within its scope. Candidates of a kind do not overlap and have a
+least length, so that number is bounded by the candidate's own length on the right and by the
+longest candidate of the text on the left.
 No shuffle at all. Texts without any cheap marker skip the extraction.
 """
 
@@ -49,8 +50,11 @@ WEAK = (
     Kind("endpoint", "endpoint", r"(https?|wss?|s3|amqp|redis|mongodb|postgres(ql)?|mysql)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+", 10),
 )
 KINDS = BASE + WEAK
-#: Neighbours that can start within SCOPE on one side: the shortest candidate has 8 code points of value and more of keyword.
-REACH = len(KINDS) * (SCOPE // 10 + 1)
+
+
+def reach(length: Column) -> Column:
+    """The most candidates that can start within so many code points: the shortest has 10, as an assignment has 8 of value and more of keyword."""
+    return (len(KINDS) * (F.floor(length / F.lit(10)) + 1)).cast("int")
 
 
 def matches(text: Column, kind: Kind) -> Column:
@@ -83,7 +87,7 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
 
     A null or empty text has none. Weak candidates that overlap a strong match are that match.
     """
-    names = {n: fresh(docs, n) for n in ("secrets", "scanned", "strong", "weak", "all")}
+    names = {n: fresh(docs, n) for n in ("secrets", "scanned", "strong", "weak", "all", "longest")}
     empty = F.array().cast("array<struct<start:int,kind_no:int,stop:int,kind:string,part:string>>")
 
     def gathered(kinds: tuple[Kind, ...], marker: str) -> Column:
@@ -99,9 +103,12 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     apart = F.filter(weak, lambda w: ~F.exists(strong, lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"])))
     out = out.withColumn(names["all"], F.when(F.size(weak) == 0, strong).otherwise(F.sort_array(F.concat(strong, apart))))
     weak_from = len(BASE)
+    out = out.withColumn(names["longest"], F.coalesce(F.array_max(F.transform(every, lambda y: y["stop"] - y["start"])), F.lit(0)))
 
     def linked(x: Column, i: Column) -> Column:
-        around = F.slice(every, F.greatest(i + 1 - REACH, F.lit(1)), 2 * REACH + 1)
+        left, right = reach(F.col(names["longest"]) + scope), reach(x["stop"] - x["start"] + scope)
+        begin = F.greatest(i + 1 - left, F.lit(1))
+        around = F.slice(every, begin, i + 2 + right - begin)
         beside = F.filter(around, lambda y: (y["start"] < x["stop"] + scope) & (x["start"] < y["stop"] + scope))
         has = lambda part: F.exists(beside, lambda y: y["part"] == part)
         return (x["kind_no"] < weak_from) | F.when(x["part"] == "id", has("secret")).when(x["part"] == "secret", has("id")).otherwise(has("id") & has("secret"))
@@ -109,7 +116,7 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     kept = F.when(F.size(every) == 0, every).otherwise(F.filter(every, linked))
     value = lambda x: F.substr(F.col(names["scanned"]), x["start"] + 1, x["stop"] - x["start"])
     spans = F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), value(x).alias("value")))
-    return out.withColumn(names["secrets"], pinned(spans)).drop(*(names[n] for n in ("scanned", "strong", "weak", "all")))
+    return out.withColumn(names["secrets"], pinned(spans)).drop(*(names[n] for n in ("scanned", "strong", "weak", "all", "longest")))
 
 
 def spelled(spans: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:

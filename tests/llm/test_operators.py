@@ -352,3 +352,15 @@ def test_hashes_are_the_same_in_any_piece():
     assert [text.encode()[a:b].decode() for a, b in zip(starts, stops, strict=True)] == text.split()
     assert hashes[1] == hashes[2] and len(set(hashes.tolist())) == len({w.lower() for w in text.split()})
     assert hashlib.sha256(hashes.tobytes()).hexdigest() == hashlib.sha256(tokens.word_hashes(raw.copy(), starts, stops).tobytes()).hexdigest()
+
+
+def test_secrets_of_a_very_long_endpoint(spark):
+    """The identifier and the secret lie after the end of a URL that holds over 126 candidates, or a long identifier holds as many."""
+    weak_id, weak_secret = "ABCDEFGH12345678", "aB3" * 12
+    url = "https://h.example/" + "/".join(["QWERTYUI87654321"] * 400)
+    digits = "AKIA" + "A".join(["1234567890" * 4] * 200)
+    rows = [(1, f"{url} {weak_secret}"), (2, f"{digits} {weak_secret}"), (3, f"{url} {'x ' * 150}{weak_secret} {weak_id}")]
+    found = {r["doc_id"]: [(s["kind"], s["value"]) for s in r["secrets"]] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert ("endpoint", url) in found[1] and ("key_secret", weak_secret) in found[1]
+    assert ("key_secret", weak_secret) in found[2]
+    assert ("endpoint", url) not in found[3]
