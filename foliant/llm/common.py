@@ -40,12 +40,14 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests, where it is unset, a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a local one; a cluster must set it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-"))
@@ -53,14 +55,35 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}/{name}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
+    path = _path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing will read again."""
+    for table in tables:
+        for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            _delete(table.sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are written."""
+    _delete(spark, _path(spark, ""))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, for working columns beside unknown ones."""
     taken, out = {c.lower() for c in df.columns}, name

@@ -15,7 +15,7 @@ shared, all do; only the rest goes to the next level, with one row for each dist
 Large groups of copies are thus settled at the first level.
 
 Cost: three scans of documents, the second and third only of those with open windows, plus one to
-apply the result; about 2/(LENGTH-SEED+2) anchors for each byte are shuffled once.
+apply the result; about 2/(LENGTH-SEED+2) anchors for each byte are written, and shuffled as counts.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import written
@@ -108,7 +108,10 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _runs(g: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For the open windows of each text, a row for each run of g starts, counted back from the anchor."""
+        """For the open windows of each text, a row for each run of g starts, counted back from the anchor.
+
+        A run that does not lie in the text whole has a rank of its own, so it stays open or is unique.
+        """
         for batch in batches:
             rows: list[tuple] = []
             for row, text, todo in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("todo").to_pylist(), strict=True):
@@ -119,7 +122,7 @@ def _runs(g: int):
                         first, last = a - (j + 1) * g + 1, a - j * g
                         fits = first >= 0 and last + LENGTH <= len(data)
                         shared = _key(data[last : first + LENGTH], j)
-                        rows.append((row, a, max(lo, first), min(hi, last), shared, _digest(data[first : last + LENGTH], j) if fits else None))
+                        rows.append((row, a, max(lo, first), min(hi, last), shared, _digest(data[first : last + LENGTH] if fits else b"%d,%d" % (row, first), j)))
                     if len(rows) > 20_000:
                         yield _batch(rows, ROW)
                         rows = []
@@ -131,18 +134,17 @@ def _runs(g: int):
 def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """(intervals that repeat, rows that stay open) of one level.
 
-    Neighbours in the order (shared, whole) tell unique and shared ranks apart, so no group is held.
+    Rows are counted by (shared, whole) and then by shared, both with a map-side combine, so a rank
+    that a third of all texts share is a few counts and never the rows of one task. What goes back to
+    single rows goes back by joins, which adaptive execution splits where copies make them uneven.
     """
-    order = Window.partitionBy("shared").orderBy("whole")
-    before, after = F.lag("whole").over(order), F.lead("whole").over(order)
-    other = F.lag("row").over(order).isNotNull() | F.lead("row").over(order).isNotNull()
-    same_before = F.coalesce(before == F.col("whole"), F.lit(False))
-    known = rows.select("*", same_before.alias("again"), (same_before | F.coalesce(after == F.col("whole"), F.lit(False))).alias("repeats"), other.alias("other"))
-    known = written(known.where("other").drop("other"), name)
-    done = known.where("repeats").select("row", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("stop"))
-    mixed = known.groupBy("shared").agg(F.min(F.col("repeats")).alias("all_repeat")).where("NOT all_repeat").select("shared")
-    left = known.where("NOT again").join(mixed, "shared", "left_semi").select("row", "a", "lo", "hi")
-    return done, left
+    held = written(rows, name)
+    one = [F.first(c).alias(c) for c in ("row", "a", "lo", "hi")]  # of one row: aggregates see rows in the same order
+    groups = held.groupBy("shared", "whole").agg(F.count("*").alias("n"), *one)
+    shares = groups.groupBy("shared").agg(F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1").select("shared", "least")
+    known = written(groups.join(shares, "shared"), f"{name}_known")
+    done = held.join(known.where("n > 1").select("shared", "whole"), ["shared", "whole"], "left_semi").select("row", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("stop"))
+    return done, known.where("least = 1").select("row", "a", "lo", "hi")
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str, few: bool) -> DataFrame:
@@ -165,31 +167,48 @@ def repeated(texts: DataFrame) -> DataFrame:
     return out
 
 
-CUT = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
+CUT = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("kept_chars", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
+
+
+def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that the intervals cover; intervals that touch are one run."""
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(stop[order])
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]])) if len(start) else np.zeros(0, np.int64)
+    return start[new], reach[np.append(new[1:], len(start)) - 1] if len(start) else stop
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "text"):
-            rows = []
-            for key, text, spans in zip(piece.column("key").to_pylist(), piece.column("text"), piece.column("spans").to_pylist(), strict=True):
-                data, merged = text.as_py().encode(), []
-                for s in sorted((s["start"], s["stop"]) for s in spans):
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
-                    else:
-                        merged.append(list(s))
-                kept, at = [], 0
-                for a, b in merged:
-                    kept.append(data[at:a])
-                    at = b
-                kept.append(data[at:])
-                rows.append((key, len(data), sum(b - a for a, b in merged), [{"start": a, "stop": b} for a, b in merged], b"".join(kept)))
-            yield _batch(rows, CUT)
+            raw, offsets = text_bytes(piece.column("text"))
+            spans = piece.column("spans")
+            flat, sizes = spans.flatten(), spans.value_lengths().to_numpy()
+            starts, stops = (flat.field(c).to_numpy() for c in ("start", "stop"))
+            at, removed, chars, kept, lengths, low, high = 0, [], [], [], [], [], []
+            for a, b, n in zip(offsets[:-1].tolist(), offsets[1:].tolist(), sizes.tolist(), strict=True):
+                first, last = merged(starts[at : at + n], stops[at : at + n])
+                at += n
+                edge = np.zeros(b - a + 1, np.int8)
+                edge[first], edge[last] = 1, -1
+                left = raw[a:b][np.cumsum(edge[:-1], dtype=np.int8) == 0]
+                removed.append(b - a - len(left))
+                chars.append(int(np.count_nonzero((left & 0xC0) != 0x80)))
+                kept.append(left.tobytes())
+                lengths.append(len(first))
+                low.append(first)
+                high.append(last)
+            bounds = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+            own = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for x in (low, high)], ["start", "stop"])
+            columns = [piece.column("key"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(chars, pa.int64()), pa.ListArray.from_arrays(bounds, own), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=CUT)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, n_removed, spans, kept) of each row of docs: maximal removed runs and the remaining bytes.
+    """(key, n_bytes, n_removed, kept_chars, spans, kept) of each row of docs: maximal removed runs and the remaining bytes.
+
+    kept_chars counts the remaining bytes that begin a code point, which is the length of a text that
+    loses nothing.
 
     A null text is empty; texts shorter than LENGTH lose nothing; equal rows count as repeats of each
     other; an empty table gives an empty result. Keys are long integers and may be null or repeated.
@@ -198,6 +217,6 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spans = written(repeated(texts.select("row", "text")).groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
     few = spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     ids = spans.select("row")
-    touched = _only(texts, ids, "left_semi", few).join(spans, "row").select("key", "text", "spans").mapInArrow(_cut, "key long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
-    rest = _only(texts, ids, "left_anti", few).select("key", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), F.col("text").cast("binary").alias("kept"))
+    touched = _only(texts, ids, "left_semi", few).join(spans, "row").select("key", "text", "spans").mapInArrow(_cut, "key long, n_bytes long, n_removed long, kept_chars long, spans array<struct<start:long,stop:long>>, kept binary")
+    rest = _only(texts, ids, "left_anti", few).select("key", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.length("text").cast("long").alias("kept_chars"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), F.col("text").cast("binary").alias("kept"))
     return touched.unionByName(rest).withColumnRenamed("key", key)
