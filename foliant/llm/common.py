@@ -13,6 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The same for DuckDB.
 SQL_SPACE = r"[\x20\x09-\x0D]+"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,10 +61,18 @@ def _path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors.
+
+    The shuffle files of the write are dropped as soon as it is done, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = _path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.parquet(path)
 
 

@@ -131,38 +131,100 @@ def test_code_switching():
     assert sum(b == w for b, w in zip(best, ["en"] * 15 + ["de"] * 15, strict=True)) >= 27
 
 
-def test_katz(spark, docs):
+class Brute:
+    """A Katz model over lists of tokens, counted in dictionaries and evaluated one token at a time."""
+
+    def __init__(self, texts, order):
+        self.order, self.grams, self.context = order, defaultdict(Counter), defaultdict(Counter)
+        for words in texts:
+            run = ["\1"] * (order - 1) + words
+            for t in range(order - 1, len(run)):
+                for k in range(1, order + 1):
+                    self.grams[k][tuple(run[t - k + 1 : t + 1])] += 1
+                    self.context[k][tuple(run[t - k + 1 : t])] += 1
+        self.n, self.v = sum(self.grams[1].values()), len(self.grams[1])
+        of = {k: Counter(self.grams[k].values()) for k in range(2, order + 1)}
+        self.d = {k: katz.discounts([of[k][i] for i in range(1, 7)]) for k in of}
+        self.followers = defaultdict(list)
+        for k in range(2, order + 1):
+            for g in self.grams[k]:
+                self.followers[g[:-1]].append(g[-1])
+        self.alphas = {}
+
+    def used(self, g):
+        c = self.grams[len(g)][g]
+        return (self.d[len(g)][c - 1] if c <= 5 else 1.0) * c
+
+    def below(self, h):
+        k = len(h) + 1
+        kept = all(c > 5 or self.d[k][c - 1] == 1 for c in (self.grams[k][(*h, w)] for w in self.followers[h]))
+        return self.context[k][h] + kept
+
+    def alpha(self, h):
+        if h not in self.followers:
+            return 1.0
+        if h not in self.alphas:
+            own = sum(self.used((*h, w)) for w in self.followers[h]) / self.below(h)
+            self.alphas[h] = (1 - own) / (1 - sum(self.p((*h[1:], w)) for w in self.followers[h]))
+        return self.alphas[h]
+
+    def p(self, g):
+        if len(g) == 1:
+            return (self.grams[1][g] + 1) / (self.n + self.v + 1)
+        if self.grams[len(g)][g]:
+            return self.used(g) / self.below(g[:-1])
+        return self.alpha(g[:-1]) * self.p(g[1:])
+
+    def score(self, words):
+        run = ["\1"] * (self.order - 1) + words
+        return sum(math.log10(self.p(tuple(run[t - self.order + 1 : t + 1]))) for t in range(self.order - 1, len(run)))
+
+
+TOKENS = {i: WORD.findall((t or "").translate(LOWER)) + ["\0"] for i, t, _, _ in DOCS}
+
+
+@pytest.mark.parametrize(("order", "segment_bytes"), [(2, 4_000_000), (2, 300), (3, 250), (1, 4_000_000)])
+def test_katz(spark, docs, order, segment_bytes):
     train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
-    out = {r["doc_id"]: r for r in katz.scored(docs, train, part_tokens=500).collect()}
-    tokens = {i: WORD.findall((t or "").translate(LOWER)) + ["\0"] for i, t, _, _ in DOCS}
-    learned = {i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2}
-    uni, big, ctx = Counter(), Counter(), Counter()
-    for i in learned:
-        before = "\1"
-        for w in tokens[i]:
-            uni[w] += 1
-            big[before, w] += 1
-            ctx[before] += 1
-            before = w
-    n, v, of = sum(uni.values()), len(uni), Counter(big.values())
-    d = katz.discounts([of[i] for i in range(1, 7)])
-    disc = lambda c: (d[c - 1] if c <= 5 else 1.0) * c
-    p = lambda w: (uni[w] + 1) / (n + v + 1)
-    after = defaultdict(list)
-    for (h, w), c in big.items():
-        after[h].append((w, c))
-    alpha = {h: (1 - sum(disc(c) for _, c in f) / (ctx[h] + 1)) / (1 - sum(p(w) for w, _ in f)) for h, f in after.items()}
-    for h, f in after.items():  # every distribution adds up to 1, the unknown word included
-        unseen = [w for w in uni if (h, w) not in big]
-        assert math.isclose(sum(disc(c) / (ctx[h] + 1) for _, c in f) + alpha[h] * (sum(map(p, unseen)) + 1 / (n + v + 1)), 1.0)
-    for i, words in tokens.items():
-        score, before = 0.0, "\1"
-        for w in words:
-            score += math.log10(disc(big[before, w]) / (ctx[before] + 1) if big[before, w] else alpha.get(before, 1.0) * p(w))
-            before = w
+    out = {r["doc_id"]: r for r in katz.scored(docs, train, order=order, block_tokens=700, segment_bytes=segment_bytes).collect()}
+    assert len(out) == len(DOCS)
+    learned = {i for i in TOKENS if zlib.crc32(str(i).encode()) % 7 != 2}
+    model = Brute([TOKENS[i] for i in sorted(learned)], order)
+    for h in list(model.followers):  # every distribution adds up to 1, the unknown word included
+        assert math.isclose(sum(model.p((*h, *w)) for w in model.grams[1]) + model.p((*h, "never seen")), 1.0)
+    for i, words in TOKENS.items():
         r = out[i]
-        assert math.isclose(r["score"], score, abs_tol=1e-7) and math.isclose(r["base_score"], sum(math.log10(p(w)) for w in words), abs_tol=1e-7)
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i not in learned, len(words), sum(uni[w] > 0 for w in words), n)
+        base = sum(math.log10((model.grams[1][w,] + 1) / (model.n + model.v + 1)) for w in words)
+        assert math.isclose(r["score"], model.score(words), abs_tol=1e-7) and math.isclose(r["base_score"], base, abs_tol=1e-7)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i not in learned, len(words), sum(model.grams[1][w,] > 0 for w in words), model.n)
+
+
+def test_katz_tables_score_fresh_texts(spark, docs):
+    model = katz.trained(docs.where("doc_id < 30"), order=3)
+    held = {(r["order"], r["count"]) for r in model.ngrams().collect()}
+    brute = Brute([TOKENS[i] for i in range(30)], 3)
+    assert held == {(k, c) for k in (1, 2, 3) for c in brute.grams[k].values()}
+    out = {r["doc_id"]: r["score"] for r in katz.scores(model, docs.where("doc_id >= 25")).collect()}
+    assert sorted(out) == list(range(25, 62))
+    assert all(math.isclose(out[i], brute.score(TOKENS[i]), abs_tol=1e-7) for i in out)
+
+
+def test_katz_of_odd_rows(spark):
+    """Null and repeated keys, a long text of one word, one of spaces only, and nothing to learn from."""
+    rows = [(None, "a b"), (None, "a b"), (7, "a b"), (7, None), (8, "x" * 5000), (9, " " * 5000), (10, "a " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = katz.scored(docs, F.lit(True), segment_bytes=400).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in out) == [("10", 3001), ("7", 1), ("7", 3), ("8", 2), ("9", 1), ("None", 3), ("None", 3)]
+    assert len({r["score"] for r in out if r["n_tokens"] == 3}) == 1
+    none = katz.scored(docs, F.lit(False)).collect()
+    assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["base_score"] == 0 for r in none)
+
+
+def test_discounts_rise():
+    assert katz.discounts([0] * 6) == katz.discounts([5, 0, 0, 0, 0, 0]) == [1.0] * 5
+    for n in ([1000, 300, 150, 90, 60, 45], [1000, 400, 90, 95, 30, 31], [1000, 30, 500, 20, 30, 1]):
+        d = katz.discounts(n)
+        assert d == sorted(d) and 0 < d[0] and d[-1] <= 1
 
 
 def test_sharding(spark, docs):
