@@ -426,3 +426,56 @@ def test_secrets_of_a_very_long_endpoint(spark):
     assert ("endpoint", url) in found[1] and ("key_secret", weak_secret) in found[1]
     assert ("key_secret", weak_secret) in found[2]
     assert ("endpoint", url) not in found[3]
+
+
+def brute_secrets(text, scope=secrets.SCOPE):
+    """Spans by re, and the link rule by looking at all pairs."""
+    found = {}
+    for k in secrets.KINDS:
+        for m in re.finditer(k.pattern, text):
+            v = m.group(k.group)
+            if k.least <= len(v) <= k.most and all(re.search(n, v) for n in k.needs):
+                found.setdefault(k in secrets.WEAK, []).append((m.start(), secrets.KINDS.index(k), m.end(), k.name, k.part))
+    strong = found.get(False, [])
+    weak = [w for w in found.get(True, []) if not any(s[0] < w[2] and w[0] < s[2] for s in strong)]
+    every = sorted(strong + weak)
+
+    def linked(x):
+        near = {y[4] for y in every if y[0] < x[2] + scope and x[0] < y[2] + scope}
+        return x in strong or {"id": {"secret"}, "secret": {"id"}, "endpoint": {"id", "secret"}}[x[4]] <= near
+
+    return [(x[3], x[0], x[2]) for x in every if linked(x)]
+
+
+def test_secrets_against_all_pairs(spark):
+    """Random texts of parts and gaps around the scope, among them some with more candidates than a chunk has and a very long one."""
+    rng = np.random.default_rng(3)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+
+    def part():
+        kind = rng.integers(0, 7)
+        if kind == 0:
+            return "AKIA" + pick(up + digits, int(rng.integers(8, 20)))
+        if kind == 1:
+            return pick(up + digits, int(rng.integers(12, 36)))
+        if kind == 2:
+            return pick(low + up + digits, int(rng.integers(28, 95)))
+        if kind == 3:
+            return "https://" + pick(low + digits, int(rng.integers(1, 400))) + ".example/"
+        if kind == 4:
+            return pick("0123456789abcdef", int(rng.integers(28, 40)))
+        if kind == 5:
+            return str(rng.choice(["password", "API_KEY", "token", "secret"])) + str(rng.choice([": ", "=", " = '"])) + pick(low + digits, int(rng.integers(5, 14)))
+        return "plain é words"
+
+    texts = [" ".join(x for _ in range(int(n)) for x in (part(), "." * int(rng.choice([0, 3, 150, 190, 199, 200, 201, 230])))) for n in [*rng.integers(0, 14, 120), 700, 900]]
+    texts += ["AKIA" + ("1" * 32 + "Z") * 150 + " ..... " + pick(low + up + digits, 40), ("AKIA" + "9" * 16 + " ") * 3000, "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r["doc_id"]: [(s["kind"], s["start"], s["stop"]) for s in r["secrets"]] for r in secrets.scan(docs).collect()}
+    added = 0
+    for i, t in enumerate(texts):
+        want = brute_secrets(t or "")
+        assert out[i] == want
+        added += sum(k in ("key_id", "key_secret", "endpoint") for k, _, _ in want)
+    assert added > 100
