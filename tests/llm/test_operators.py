@@ -1,6 +1,7 @@
 """The ten operators against brute force on small tables with nulls, empty texts, copies, ties and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -110,8 +111,8 @@ def test_forward_backward_is_exact():
     for a, b in zip(first[:-1], first[1:], strict=True):
         e = np.exp(scores[a:b])
         alpha, state = [], np.ones(k)
-        for x in e:
-            state = (state @ step) * x
+        for t, x in enumerate(e):
+            state = (state @ step if t else state) * x
             state /= state.sum()
             alpha.append(state)
         state = np.ones(k)
@@ -122,6 +123,46 @@ def test_forward_backward_is_exact():
             state /= state.sum()
 
 
+def test_gradient_is_that_of_the_likelihood():
+    """Against finite differences of a likelihood that is added up over all label sequences."""
+    texts, truth = ["river stone the", "der haus of und", "x"], np.array([0, 0, 1, 2, 1, 0, 2, 1])
+    rng = np.random.default_rng(8)
+    model = crf.Crf(["a", "b", "c"], rng.normal(size=(3, crf.GRAM_BUCKETS, 3)).astype(np.float64) / 4, rng.normal(size=(crf.WORD_BUCKETS, 3)).astype(np.float64) / 4, rng.normal(size=(3, 3)))
+
+    def loss():
+        scores, first = crf.emissions(model, texts)
+        out = 0.0
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            path = lambda ys: sum(scores[a + t, y] for t, y in enumerate(ys)) + sum(model.transitions[x, y] for x, y in itertools.pairwise(ys))  # noqa: E731, B023
+            out += math.log(sum(math.exp(path(ys)) for ys in itertools.product(range(3), repeat=b - a))) - path(truth[a:b].tolist())
+        return out / len(truth)
+
+    for weights, slope in zip((model.grams, model.words, model.transitions), crf.gradient(model, texts, truth), strict=True):
+        for at in [tuple(x) for x in np.argwhere(slope != 0)[:12]]:
+            kept, step = weights[at], 1e-5
+            weights[at] = kept + step
+            above = loss()
+            weights[at] = kept - step
+            below = loss()
+            weights[at] = kept
+            assert math.isclose((above - below) / (2 * step), slope[at], rel_tol=1e-4, abs_tol=1e-7)
+    with pytest.raises(ValueError):
+        crf.gradient(model, texts, truth[:-1])
+
+
+def test_long_texts_are_chained(spark):
+    rng = np.random.default_rng(4)
+    model = crf.fit([(lang, " ".join(rng.choice(VOCABULARY[lang], 200))) for lang in VOCABULARY for _ in range(10)])
+    text = " ".join(str(w) for i in range(12) for w in rng.choice(VOCABULARY["en" if i % 3 else "de"], 40)) + "\n  \t"
+    whole = crf.posteriors(*crf.emissions(model, [text]), model.transitions)
+    assert np.allclose(np.concatenate(list(crf.long_posteriors(model, text, 300))), whole)
+    rows = [(None, text, "en"), (1, text * 3, "de"), (1, None, None), (2, " " * 5000, "en"), (3, "1 2 3", "de"), (4, "x" * 9000, "en"), *((i, " ".join(rng.choice(VOCABULARY["en" if i % 2 else "de"], 60)), "en" if i % 2 else "de") for i in range(10, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = [sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 9), str(r["runs"])) for r in crf.labelled(docs, F.col("doc_id") >= 10, segment_bytes=n).collect()) for n in (1000, 1_000_000)]
+    assert out[0] == out[1] and len(out[0]) == len(rows)
+    assert {r[1] for r in out[0] if r[0] in ("2", "3")} == {"und"}
+
+
 def test_code_switching():
     rng = np.random.default_rng(3)
     model = crf.fit([(lang, " ".join(rng.choice(VOCABULARY[lang], 200))) for lang in VOCABULARY for _ in range(20)])
