@@ -42,7 +42,7 @@ ORDER = 2
 #: Good-Turing discounts counts 1 to this.
 MOST_DISCOUNTED = 5
 #: Tokens of a block, of a partition of the tables, and bytes of a text that are read at a time, about.
-BLOCK_TOKENS, PART_TOKENS, SEGMENT_BYTES = 2_000_000, 1_000_000, 4_000_000
+BLOCK_TOKENS, PART_TOKENS, SEGMENT_BYTES = 1_500_000, 1_000_000, 4_000_000
 LEAST_PARTS = 48
 #: Hashes that stand for the end token and for what is before a text.
 END, BEGIN = np.uint64(0x656E64), np.uint64(0x626567)
@@ -284,11 +284,24 @@ def _answer_grams(tables: bool):
     return run
 
 
-def _facts(block: Block, answers: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(count, owned, a token that has it) of each distinct n-gram of order k, and the number of the n-gram of each token."""
-    _, first, index = np.unique(block.of(k), return_index=True, return_inverse=True)
-    said = np.concatenate([_unpack(a[3])[0] for a in answers if a[0] == k]).astype(np.int64)
-    return said >> 1, (said & 1).astype(bool), first, index
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, and the number among them of each, in few bytes."""
+    own, index = np.unique(hashes, return_inverse=True)
+    return own, index.astype(np.int32)
+
+
+def _facts(block: Block, answers: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(count, owned) of each distinct n-gram of order k, and the number of the n-gram of each token."""
+    _, index = _numbered(block.of(k))
+    said = np.concatenate([_unpack(a[3])[0] for a in answers if a[0] == k])
+    return (said >> 1).astype(np.int64), (said & 1).astype(bool), index
+
+
+def _token_of(index: np.ndarray, n: int) -> np.ndarray:
+    """A token that has each n-gram."""
+    out = np.empty(n, np.int32)
+    out[index] = np.arange(len(index), dtype=np.int32)
+    return out
 
 
 def _ask_contexts(order: int, parts: int, learning: bool):
@@ -303,12 +316,13 @@ def _ask_contexts(order: int, parts: int, learning: bool):
         """What blocks tell and ask about contexts: by count of the n-grams that they own, how many follow; and what the lower order gives to these."""
         for (number,), rows in _grouped(batches, "block"):
             block, answers = Block(rows[0][3], order), rows[1:]
-            lower, _, _, lower_of = _facts(block, answers, 1)
+            lower, _, lower_of = _facts(block, answers, 1)
             for k in range(2, order + 1):
-                counts, owned, first, index = _facts(block, answers, k)
-                hashes, context = np.unique(block.context(k), return_inverse=True)
+                counts, owned, index = _facts(block, answers, k)
+                hashes, context = _numbered(block.context(k))
                 n, mine = len(hashes), np.flatnonzero(owned & (counts > 0) & learning)
-                where, token = context[first[mine]], first[mine]
+                token = _token_of(index, len(counts))[mine]
+                where = context[token]
                 below = lower[lower_of[token]]
                 beneath = [np.bincount(where, below + 1, n).astype(np.int64)] if k == 2 else classes(below, where, n)
                 yield _batch(list(_split(CONTEXT + k, number, hashes, [*classes(counts[mine], where, n), *beneath], parts)), MESSAGE)
@@ -354,31 +368,32 @@ def _score(order: int, n: int, v: int, discount: dict[int, list[float]]):
         """Sums of the scores of each text's tokens in the block, token by token from the highest order down."""
         for _, rows in _grouped(batches, "block"):
             block, answers = Block(rows[0][3], order), rows[1:]
-            count: dict[int, np.ndarray] = {}
-            below: dict[int, np.ndarray] = {1: np.full(len(block.at), float(n + v + 1))}
-            alpha: dict[int, np.ndarray] = {}
+            # Of each order: counts and the number of each token's n-gram; of contexts the denominator, alpha and the number.
+            count, gram, below, alpha, context = {}, {}, {1: np.array([n + v + 1.0])}, {}, {1: np.zeros(len(block.at), np.int8)}
             for k in range(1, order + 1):
-                counts, _, _, index = _facts(block, answers, k)
-                count[k] = counts[index]
+                count[k], _, gram[k] = _facts(block, answers, k)
                 if k > 1:
-                    _, context = np.unique(block.context(k), return_inverse=True)
+                    _, context[k] = _numbered(block.context(k))
                     said = [_unpack(a[3]) for a in answers if a[0] == CONTEXT + k]
-                    denominator, left, numerator = (np.concatenate([s[i] for s in said])[context] for i in range(3))
+                    denominator, left, numerator = (np.concatenate([s[i] for s in said]) for i in range(3))
                     below[k] = denominator.astype(np.float64)
                     # Neither is 0: a context leaves mass, and unknown words have a share that is never seen.
-                    free = 1 - numerator / np.maximum(below[k - 1], 1)
-                    alpha[k] = np.where(denominator > 0, left / np.where(denominator > 0, free, 1.0), 1.0)
-            base = np.log10((count[1] + 1) / (n + v + 1))
+                    shorter = below[k - 1][context[k - 1][_token_of(context[k], len(denominator))]]
+                    free = 1 - numerator / np.maximum(shorter, 1)
+                    alpha[k] = np.log10(np.where(denominator > 0, left / np.where(denominator > 0, free, 1.0), 1.0))
+            log_base = np.log10((count[1] + 1) / (n + v + 1))
             rate = {k: np.array([0.0, *discount[k], 1.0]) for k in range(2, order + 1)}
+            log_used = {k: np.log10(np.where(c > 0, rate[k][np.minimum(c, MOST_DISCOUNTED + 1)] * c, 1.0)) for k, c in count.items() if k > 1}
+            log_below = {k: np.log10(np.maximum(b, 1)) for k, b in below.items() if k > 1}
 
             def log_p(k: int, at: np.ndarray) -> np.ndarray:
                 """log10 P of the tokens at some places by order k."""
+                own = gram[k][at]
                 if k == 1:
-                    return base[at]
-                c = count[k][at]
-                out = np.log10(np.where(c > 0, rate[k][np.minimum(c, MOST_DISCOUNTED + 1)] * c, 1.0) / np.where(c > 0, below[k][at], 1.0))
-                unseen = np.flatnonzero(c == 0)
-                out[unseen] = np.log10(alpha[k][at[unseen]]) + log_p(k - 1, at[unseen])
+                    return log_base[own]
+                out = log_used[k][own] - log_below[k][context[k][at]]
+                unseen = np.flatnonzero(count[k][own] == 0)
+                out[unseen] = alpha[k][context[k][at[unseen]]] + log_p(k - 1, at[unseen])
                 return out
 
             # A segment without a token, of spaces only, has sums of 0.
@@ -390,7 +405,7 @@ def _score(order: int, n: int, v: int, discount: dict[int, list[float]]):
                     out[some] = np.add.reduceat(x, block.starts[some])
                 return out
 
-            columns = [block.uid, (block.place >> 1).astype(np.int32), (block.place & 1).astype(bool), block.key, block.train == 0, block.sizes, summed((count[1] > 0).astype(np.int64)), summed(base), summed(log_p(order, np.arange(len(block.at))))]
+            columns = [block.uid, (block.place >> 1).astype(np.int32), (block.place & 1).astype(bool), block.key, block.train == 0, block.sizes, summed((count[1] > 0)[gram[1]].astype(np.int64)), summed(log_base[gram[1]]), summed(log_p(order, np.arange(len(block.at), dtype=np.int32)))]
             names = [c.strip().split(" ")[0] for c in SCORE_DDL.split(",")]
             arrays = [pa.array(c, mask=block.key_null.astype(bool)) if name == "key" else pa.array(c) for name, c in zip(names, columns, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
