@@ -5,8 +5,8 @@ times its size, and the excess is shared out again. The mix is then cut into blo
 ``block_tokens`` tokens, and blocks go to sources one by one by the highest quotient target/(2k+1).
 The method is house-monotone, so the quotas of the first j shards are the seats after j*M/n blocks,
 and the differences are integer quotas for each shard. Last, each source lays its documents in a
-seeded random order, cuts that line into blocks, and the quota takes every block as often as it
-fits plus an arc of blocks from a seeded start.
+seeded random order and cuts that line into blocks. From a seeded start and round the corner, the
+shards take their quotas of blocks one after the other.
 
 Cost: one map-side combined sum over sources, one narrow shuffle (no texts) by (source, bucket) for
 the running sums. A hot source spreads over ``BUCKETS`` buckets. The driver holds one row for each
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 from fractions import Fraction
+from itertools import accumulate
 from math import floor
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,7 @@ from foliant.llm.common import WORD, fresh, hash60, small_table, written
 WEIGHTS = (3, 1, 2)
 BLOCK_TOKENS = 32
 BUCKETS = 1024
+N_SHARDS = 24
 MAX_SOURCES = 100_000
 SHARE = Fraction(3, 2)
 
@@ -119,10 +121,11 @@ def offset_of(source: Source, seed: int, block: int) -> int:
     return int(digest[:15], 16) % max(1, blocks_of(source.size, block)) * block
 
 
-def select_blocks(docs: DataFrame, seed: int = 7, block: int = BLOCK_TOKENS, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(key, source, size, source_size, target, seats, taken) for each row of docs.
+def select_blocks(docs: DataFrame, seed: int = 7, block: int = BLOCK_TOKENS, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, n_shards: int = N_SHARDS) -> DataFrame:
+    """(key, row, source, size, source_size, target, seats, by_shard, taken) for each row of docs.
 
-    taken counts the words of the row in the chosen blocks, repeats included. A null text has size 0
+    by_shard counts the words of the row in the blocks that each shard takes by its quota, repeats
+    included; taken is their sum. row is a hash of key, text and source. A null text has size 0
     and is never taken; a null source is a source; equal rows get places in any order, which changes
     none of the results by row value; an empty table gives an empty result.
     """
@@ -134,12 +137,15 @@ def select_blocks(docs: DataFrame, seed: int = 7, block: int = BLOCK_TOKENS, key
         F.col(source).isNull().alias("_null"),
         n_words(F.col(text)).alias("_size"),
         hash60(seed, F.col(key), F.col(text)).alias("_order"),
+        F.xxhash64(key, text, source).alias("_row"),
     ).withColumn("_bucket", F.floor(F.col("_order") / F.lit(2**60 // BUCKETS)).cast("int"))
     by_bucket = written(sizes.groupBy("_source", "_name", "_null", "_bucket").agg(F.sum("_size").alias("_in")), "mixing")
     plan = source_plan(by_bucket, "_source", "_in", block, weights)
-    rows = [(s.name or "", s.name is None, s.size, float(s.target), s.seats, offset_of(s, seed, block)) for s in plan]
+    quotas = shard_quotas(plan, sum(s.seats for s in plan), n_shards, block)
+    upto = [list(accumulate((q[i] for q in quotas), initial=0)) for i in range(len(plan))]
+    rows = [(s.name or "", s.name is None, s.size, float(s.target), s.seats, offset_of(s, seed, block), u) for s, u in zip(plan, upto, strict=True)]
     # At most MAX_SOURCES rows go to each executor.
-    table = F.broadcast(small_table(docs.sparkSession, rows, "p_name string, p_null boolean, source_size long, target double, seats long, _first long"))
+    table = F.broadcast(small_table(docs.sparkSession, rows, "p_name string, p_null boolean, source_size long, target double, seats long, _first long, _upto array<long>"))
     by_source = Window.partitionBy("_name", "_null").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_bucket.select("_name", "_null", "_bucket", F.coalesce(F.sum("_in").over(by_source), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_name", "_null", "_bucket").orderBy("_order", "_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -148,24 +154,30 @@ def select_blocks(docs: DataFrame, seed: int = 7, block: int = BLOCK_TOKENS, key
         .join(offsets, ["_name", "_null", "_bucket"])
         .join(table, (F.col("_name") == F.col("p_name")) & (F.col("_null") == F.col("p_null")))
     )
-    start, end = F.col("_before") + F.col("_end") - F.col("_size"), F.col("_before") + F.col("_end")
+    start = F.col("_before") + F.col("_end") - F.col("_size")
     n_blocks = F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)).cast("long")
-    whole, rest = F.floor(F.col("seats") / F.col("_blocks")).cast("long"), F.col("seats") % F.col("_blocks")
-    # The arc of rest blocks from first, cut at the end of the line: [a, b) and, round the corner, [0, c).
-    a, b = F.col("_first"), F.least(F.col("_first") + F.col("_rest") * block, F.col("_blocks") * block)
-    c = F.greatest(F.col("_first") + F.col("_rest") * block - F.col("_blocks") * block, F.lit(0))
-    overlap = F.greatest(F.least(F.col("_stop"), b) - F.greatest(F.col("_start"), a), F.lit(0)) + F.greatest(F.least(F.col("_stop"), c) - F.col("_start"), F.lit(0))
+    # In the line of blocks, unrolled from the seeded start, the row stands up to three times where seats can reach.
+    line = F.col("_blocks") * block
+    places = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: F.col("_start") - F.col("_first") + i * line)
+
+    def words_of(low: Column, high: Column) -> Column:
+        return F.aggregate("_places", F.lit(0).cast("long"), lambda a, x: a + F.greatest(F.least(x + F.col("_size"), high * block) - F.greatest(x, low * block), F.lit(0)))
+
+    shards = F.sequence(F.lit(0), F.lit(n_shards - 1))
     return (
-        placed.withColumns({"_start": start, "_stop": end, "_blocks": n_blocks})
-        .withColumns({"_whole": whole, "_rest": rest})
+        placed.withColumns({"_start": start, "_blocks": n_blocks})
+        .withColumn("_places", places)
+        .withColumn("by_shard", F.transform(shards, lambda j: words_of(F.get("_upto", j), F.get("_upto", j + 1))))
         .select(
             F.col("_key").alias(key),
+            F.col("_row").alias("row"),
             F.col("_source").alias("source"),
             F.col("_size").alias("size"),
             "source_size",
             "target",
             "seats",
-            (F.col("_whole") * F.col("_size") + overlap).cast("long").alias("taken"),
+            "by_shard",
+            F.aggregate("by_shard", F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"),
         )
     )
 
@@ -173,9 +185,18 @@ def select_blocks(docs: DataFrame, seed: int = 7, block: int = BLOCK_TOKENS, key
 def mixed(docs: DataFrame, seed: int = 7, block: int = BLOCK_TOKENS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs with each row as often as the mix takes it: a row of whose words the mix takes more than half a copy more, once more.
 
-    Rows of which the mix takes nothing go; key must identify rows.
+    Rows of which the mix takes nothing go. Rows equal in key, text and source share what the mix takes
+    of them all, as evenly as whole copies allow, so null and repeated keys are rows like any other.
+    An empty table stays empty.
     """
-    taken = select_blocks(docs, seed, block, key, text, source).select(F.col(key).alias("_k"), F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int").alias("_times")).where("_times > 0")
-    times = fresh(docs, "times")
-    kept = docs.join(taken.withColumnRenamed("_times", times), docs[key].eqNullSafe(F.col("_k"))).drop("_k")
-    return kept.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times)))).drop(times)
+    row, times = fresh(docs, "row"), fresh(docs, "times")
+    chosen = select_blocks(docs, seed, block, key, text, source).select(F.col("row").alias(row), F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).alias("t"))
+    share = written(chosen.groupBy(row).agg(F.sum("t").cast("long").alias("_t"), F.count("*").alias("_c")).where("_t > 0"), "mixed")
+    uneven = F.col("_t") % F.col("_c") != 0
+    marked = docs.withColumn(row, F.xxhash64(key, text, source))
+    even = marked.join(share.where(~uneven).select(row, (F.col("_t") / F.col("_c")).cast("int").alias(times)), row)
+    if not share.where(uneven).isEmpty():
+        place = F.row_number().over(Window.partitionBy(row).orderBy(F.xxhash64(*docs.columns)))
+        odd = marked.join(share.where(uneven), row).withColumn(times, (F.floor(F.col("_t") / F.col("_c")) + (place <= F.col("_t") % F.col("_c")).cast("int")).cast("int"))
+        even = even.unionByName(odd.drop("_t", "_c"))
+    return even.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*docs.columns)
