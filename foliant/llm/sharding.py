@@ -1,8 +1,9 @@
 """Sharding by fixed virtual slots.
 
 Records are hashed into a fixed number of slots, far more than there are shards. Bytes are summed
-per slot, and a slot-to-shard map, which has a version, sends whole slots to shards. Rebalancing
-edits the map: it moves as few slots as it needs, and every other record stays where it is.
+per slot, and a slot-to-shard map sends whole slots to shards. The map is a table with a row for each
+version and slot. Rebalancing reads the current version and adds one in which it moves as few slots
+as it needs; every other record stays where it is.
 
 Cost: one scan with a map-side combined sum over at most ``n_slots`` keys, and one narrow shuffle
 (no texts) that numbers the rows of each slot. The driver holds only the map, of ``n_slots`` rows.
@@ -13,10 +14,10 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import fresh, hash60, int_array
+from foliant.llm.common import fresh, hash60, int_array, small_table
 
 N_SLOTS = 4096
 OVERHEAD = 8
@@ -91,6 +92,36 @@ def rebalance(current: SlotMap, load: dict[int, int], n_shards: int) -> SlotMap:
     return SlotMap(current.version + 1, n_shards, tuple(shard))
 
 
+def save_map(spark: SparkSession, slots: SlotMap, path: str) -> None:
+    """Add a version to the table at path: (slot int, shard int, n_shards int, version int). A version is never written twice."""
+    rows = small_table(spark, [(i, s, slots.n_shards) for i, s in enumerate(slots.shard)], "slot int, shard int, n_shards int")
+    rows.coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={slots.version}")
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+    """A version of the map at path, the last by default: one row for each slot reaches the driver."""
+    table = spark.read.parquet(path)
+    wanted = version if version is not None else table.agg(F.max("version")).first()[0]
+    rows = table.where(F.col("version") == wanted).orderBy("slot").collect()
+    return SlotMap(int(wanted), rows[0]["n_shards"], tuple(r["shard"] for r in rows))
+
+
+def rebalance_stored(docs: DataFrame, path: str, n_shards: int, key: str = "doc_id", text: str = "text") -> SlotMap:
+    """Edit the map at path for n_shards shards and the bytes of docs: the next version, which is stored and returned."""
+    current = load_map(docs.sparkSession, path)
+    load = {r["slot"]: r["bytes"] for r in slot_bytes(docs, key, text, len(current.shard)).collect()}
+    slots = rebalance(current, load, n_shards)
+    save_map(docs.sparkSession, slots, path)
+    return slots
+
+
+def stored_map(docs: DataFrame, n_shards: int, path: str, key: str = "doc_id", text: str = "text") -> tuple[SlotMap, dict[int, tuple[int, int]]]:
+    """Version 1 of the map for docs, written to path and read from there, and (bytes, rows) by slot."""
+    slots, stats = build_map(docs, n_shards, key, text)
+    save_map(docs.sparkSession, slots, path)
+    return load_map(docs.sparkSession, path), stats
+
+
 def build_map(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS) -> tuple[SlotMap, dict[int, tuple[int, int]]]:
     """Version 1 of the map for docs, and (bytes, rows) by slot. At most n_slots rows reach the driver."""
     stats = {r["slot"]: (r["bytes"], r["n_rows"]) for r in slot_bytes(docs, key, text, n_slots).collect()}
