@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, TEXT, END = "<|start|>", "<|text|>", "<|end|>"
+#: Code points of a streamed delta, and the sequence numbers that a message of from_turns has to itself.
+DELTA_CHARS, MOST_EVENTS = 1000, 10_000_000
 #: The first characters of control strings, of this template and of common ones.
 CONTROL = r"<(?=\||/?s>|<SYS>>|</SYS>>)|\[(?=/?INST\])"
 
@@ -103,10 +105,20 @@ def parse(formatted: Column) -> Column:
     )
 
 
-def from_turns(turns: DataFrame) -> DataFrame:
-    """The event log of a plain table (conv_id, turn, role, text): one create for each row, in order of turn.
+def loss_texts(formatted: Column, loss_spans: Column) -> Column:
+    """The texts under the loss mask, cut from the rendered conversation and unescaped."""
+    return F.transform(loss_spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["stop"] - s["start"])))
 
-    Repeated turns stay apart, in order of role and text.
+
+def from_turns(turns: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
+    """The event log of a plain table (conv_id, turn, role, text): for each row, in order of turn, a create and its text streamed in deltas.
+
+    Repeated turns stay apart, in order of role and text. A null or empty text has no delta.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return turns.select("conv_id", F.row_number().over(order).alias("seq"), "role", "text").select("conv_id", "seq", F.col("seq").alias("message"), F.lit("create").alias("kind"), "role", "text")
+    rows = turns.select("conv_id", F.row_number().over(order).cast("long").alias("message"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    starts = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.length("text") - 1, F.lit(delta_chars))).otherwise(F.array().cast("array<int>"))
+    delta = F.transform(starts, lambda i: F.struct((F.floor(i / delta_chars) + 1).cast("long").alias("n"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), F.substr(F.col("text"), i + 1, F.lit(delta_chars)).alias("text")))
+    create = F.array(F.struct(F.lit(0).cast("long").alias("n"), F.lit("create").alias("kind"), F.col("role").alias("role"), F.lit("").alias("text")))
+    events = rows.select("conv_id", "message", F.explode(F.concat(create, delta)).alias("e"))
+    return events.select("conv_id", (F.col("message") * MOST_EVENTS + F.col("e.n")).alias("seq"), "message", "e.kind", "e.role", "e.text")
