@@ -33,7 +33,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     held, seen = written(edges.where("u <> v").select("u", "v").distinct(), name), None
     while True:
         held = written(_small_star(_large_star(held)), name)
-        now = held.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        now = held.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             return held.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = tuple(now)

@@ -145,22 +145,21 @@ LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def _block_links(table: pa.Table) -> pa.Table:
-    """Links between components of the members of two blocks of a family (or of one), by an inverted index of their shingles.
+    """Links to other components from the members in question (asks) to a block of the same family, by an inverted index of the block's shingles.
 
     A link inside what earlier links have joined is left out.
     """
+    asks = table.column("asks").to_numpy()
     reps, comps = table.column("rep").to_numpy(), table.column("c").to_numpy()
-    sides, low, high = table.column("side").to_numpy(), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
     lists = table.column("shingles").combine_chunks()
     values, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
     sizes, n = np.diff(bounds), len(reps)
     owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(values, kind="stable")
-    starts = np.searchsorted(values[order], values, side="left")
-    stops = np.searchsorted(values[order], values, side="right")
-    posting = owner[order]
+    held = np.flatnonzero(~asks[owner])
+    held = held[np.argsort(values[held], kind="stable")]
+    ranked, posting = values[held], owner[held]
     names, label = np.unique(comps, return_inverse=True)
-    parent = list(range(len(names)))
+    parent, out = list(range(len(names))), []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -168,15 +167,14 @@ def _block_links(table: pa.Table) -> pa.Table:
             i = parent[i]
         return i
 
-    # Members of the largest component need no search of their own: the others find them.
-    largest, out = int(np.bincount(label).argmax()), []
-    for x in np.flatnonzero(label != largest):
-        a, b = starts[bounds[x] : bounds[x + 1]], stops[bounds[x] : bounds[x + 1]]
+    for x in np.flatnonzero(asks):
+        own = values[bounds[x] : bounds[x + 1]]
+        a, b = np.searchsorted(ranked, own, side="left"), np.searchsorted(ranked, own, side="right")
         runs = b - a
         where = np.repeat(a - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(int(runs.sum()))
         common = np.bincount(posting[where], minlength=n)
         near = common * 100 >= (sizes + sizes[x] - common) * PERCENT
-        for y in np.flatnonzero(near & (label != label[x]) & ((sides != sides[x]) | (low == high))):
+        for y in np.flatnonzero(near & (label != label[x])):
             i, j = root(int(label[x])), root(int(label[y]))
             if i != j:
                 parent[max(i, j)] = min(i, j)
@@ -187,18 +185,28 @@ def _block_links(table: pa.Table) -> pa.Table:
 def within_families(members: DataFrame, texts: DataFrame, block: int = BLOCK_MEMBERS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The links (u, v) that join different components c of a family, from members (family, rep, c).
 
-    A family is cut into blocks of about ``block`` members, and a task holds two blocks, so it is
-    bounded whatever the family's size. Only links leave a task, at most one for each two components.
+    A link between components has an end outside the largest one, so only those members ask. They are
+    dealt in blocks of about ``block``, and so are all members; a task holds one block of each, so it is
+    bounded whatever the family's size, and a family of m members with one outside sends m rows. Only
+    links leave a task, at most one for each two components.
     """
-    several = members.groupBy("family").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("family", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    chosen = written(members.join(several, "family"), "groups")
+    sizes = members.groupBy("family", "c").agg(F.count("*").alias("n"))
+    ranked = sizes.groupBy("family").agg(F.max("n").alias("most"), F.sum("n").alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    # Of equally large components the least counts as the largest.
+    largest = sizes.join(ranked, "family").where("n = most").groupBy("family").agg(F.min("c").alias("largest"), F.first("most").alias("most"), F.first("m").alias("m"))
+    counted = largest.select("family", "largest", F.ceil(F.col("m") / block).cast("int").alias("blocks"), F.ceil((F.col("m") - F.col("most")) / block).cast("int").alias("askers"))
+    chosen = written(members.join(counted, "family"), "groups")
     ids = chosen.select(F.col("rep").alias("doc_id")).distinct()
     few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
     sets = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_shingle_lists, "rep long, shingles array<long>")
-    side = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = chosen.withColumn("side", side).join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("family", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep", "c", "shingles")
-    return rows.groupBy("family", "lo", "hi").applyInArrow(_block_links, "u long, v long")
+    deal = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    held = F.struct(F.lit(False).alias("asks"), every(F.col("askers")).alias("i"), F.array(deal(F.col("blocks"))).alias("j"))
+    asking = F.struct(F.lit(True).alias("asks"), F.array(deal(F.col("askers"))).alias("i"), every(F.col("blocks")).alias("j"))
+    sides = F.when(F.col("c") == F.col("largest"), F.array(held)).otherwise(F.array(held, asking))
+    rows = chosen.join(sets, "rep").select("family", "rep", "c", "shingles", F.explode(sides).alias("s"))
+    rows = rows.select("family", "rep", "c", "shingles", "s.asks", F.explode("s.i").alias("i"), "s.j").withColumn("j", F.explode("j"))
+    return rows.groupBy("family", "i", "j").applyInArrow(_block_links, "u long, v long")
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
