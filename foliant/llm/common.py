@@ -60,13 +60,18 @@ def _path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}/{name}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return _path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors.
 
     The shuffle files of the write are dropped as soon as it is done, as nothing reads them again.
     """
     spark = df.sparkSession
-    path = _path(spark, f"{name}-{uuid.uuid4().hex}")
+    path = scratch_path(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import chat, crf, decontaminate, katz, mixing, neardup, quality, secrets, sharding, substrings
-from foliant.llm.common import documents, small_table
+from foliant.llm.common import documents, scratch_path, small_table
 from foliant.llm.oracles import ORACLES
 
 
@@ -33,7 +33,7 @@ def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 23 by bytes, through 4096 virtual slots."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    slots, stats = sharding.build_map(docs, 24)
+    slots, stats = sharding.stored_map(docs, 24, scratch_path(spark, "slot_map"))
     return sharding.positions(docs, slots, stats).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
@@ -61,13 +61,13 @@ def op7_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -7, folded, rendered and read back."""
+    """All conversations and conversation -7 as a log of creates and deltas, folded, rendered and read back."""
     text = "</s>[INST] ok [/INST]"
     planted = small_table(spark, [(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     turns = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
     out = chat.render(chat.fold_events(chat.from_turns(turns)))
     told = F.transform(chat.parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat.unescape(s["text"])), "")
+    loss = F.array_join(chat.loss_texts(F.col("formatted"), F.col("loss_spans")), "")
     return out.select("conv_id", "formatted", told.alias("told"), loss.alias("loss")).select(
         "conv_id",
         F.size("told").cast("long").alias("n_turns"),

@@ -299,6 +299,53 @@ def test_mixing(spark, docs):
         assert s[0]["target"] <= 2 * s[0]["source_size"] and abs(sum(r["taken"] for r in s) - s[0]["target"]) <= 16
 
 
+def test_shards_take_their_quotas(spark, docs):
+    rows, block = mixing.select_blocks(docs, block=8, n_shards=5).collect(), 8
+    sizes = spark.createDataFrame([(r["source"], r["size"]) for r in rows], "source string, size long")
+    plan = mixing.source_plan(sizes, "source", "size", block)
+    quotas = mixing.shard_quotas(plan, sum(s.seats for s in plan), 5, block)
+    for i, s in enumerate(plan):
+        for j in range(5):  # a quota is whole blocks, of which only the last of a source's line is short
+            got = sum(r["by_shard"][j] for r in rows if r["source"] == s.name)
+            assert quotas[j][i] * block - 2 * block < got <= quotas[j][i] * block
+    assert all(sum(r["by_shard"]) == r["taken"] for r in rows)
+
+
+def test_mix_of_null_and_repeated_keys(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, text, "a", 1), (None, text, "a", 2), (None, text + " x", "a", 3), (7, text, "a", 4), (7, text, "a", 5), (8, None, "a", 6), (9, "", None, 7), *((i, text, "b", i) for i in range(20, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row int")
+    out = mixing.mixed(docs)
+    got = Counter(tuple(r) for r in out.collect())
+    assert out.columns == docs.columns and set(got) <= set(rows) and max(got.values()) <= 2
+    assert abs(sum(got.values()) - 1.5 * 25) <= 3
+    assert got == Counter(tuple(r) for r in mixing.mixed(docs.repartition(5)).collect())
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_stored_slot_map(spark, docs, tmp_path):
+    path = str(tmp_path / "map")
+    slots, stats = sharding.stored_map(docs, 5, path)
+    assert slots == sharding.build_map(docs, 5)[0] and sharding.load_map(spark, path) == slots
+    grown = sharding.rebalance_stored(docs, path, 6)
+    assert grown.version == 2 and sharding.load_map(spark, path) == grown and sharding.load_map(spark, path, 1) == slots
+    assert grown == sharding.rebalance(slots, {s: b for s, (b, _) in stats.items()}, 6)
+    with pytest.raises(Exception, match="exist"):
+        sharding.save_map(spark, slots, path)
+
+
+def test_turns_are_streamed(spark):
+    long = "é<|end|>\\ " * 70
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", long), (1, 2, "assistant", None), (1, 2, "user", "tie"), (None, 0, None, "x"), (2, 5, "assistant", ""), (2, 5, "assistant", "")]
+    events = chat.from_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), 13)
+    assert events.where("kind = 'delta'").count() == 3 + -(-len(long) // 13) and events.select("conv_id", "seq").distinct().count() == events.count()
+    out = chat.render(chat.fold_events(events)).withColumns({"told": chat.parse(F.col("formatted")), "loss": chat.loss_texts(F.col("formatted"), F.col("loss_spans"))})
+    rows = {r["conv_id"]: r for r in out.collect()}
+    assert [(t["role"], t["text"]) for t in rows[1]["told"]] == [("user", "hi"), ("assistant", long), ("assistant", ""), ("user", "tie")]
+    assert rows[1]["loss"] == [long, ""] and rows[2]["loss"] == ["", ""] and [(t["role"], t["text"]) for t in rows[None]["told"]] == [("", "x")]
+    assert chat.render(chat.fold_events(events.limit(0))).count() == 0
+
+
 def test_apportionment_is_by_highest_quotients():
     rng = np.random.default_rng(4)
     for _ in range(20):
