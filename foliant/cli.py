@@ -10,7 +10,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import editorial, index, verify
+from foliant.operators import index, verify
 from foliant.session import local_session
 from foliant.sources import sinks
 
@@ -19,15 +19,14 @@ FORMS = ("md", "docx")
 
 def build(spark: SparkSession, sf_dir: str, out: str) -> dict[str, str]:
     """Ledger, entries and rendered index in out; returns the hash of each table."""
-    from foliant.plans import indexing
+    from foliant.plans import indexing, tree
 
     os.makedirs(out, exist_ok=True)
     ledger = indexing._ledger(spark, sf_dir)
     sinks.write_sorted(ledger, f"{out}/ledger", ["canonical_term", "pdf_page", "token_offset"])
     swept = verify.sweep(spark.read.parquet(f"{out}/ledger"))
     index.evidence_ids(swept, "canonical_term").write.mode("overwrite").parquet(f"{out}/evidence")
-    entries = swept.groupBy(F.col("canonical_term").alias("canonical")).agg(F.array_sort(F.collect_list(F.struct("section_ref", "folio"))).alias("locators")).withColumn("id", F.col("canonical"))
-    lines = editorial.lines(entries, spark.createDataFrame([], "id string, rank int, variant string"))
+    lines = tree.index_of(swept)
     sinks.replace_file(f"{out}/index.md", sinks.markdown(lines, "Index"))
     sinks.docx(lines, f"{out}/index.docx", "Index")
     hashes = {name: sinks.content_hash(spark.read.parquet(f"{out}/{name}").drop("section_path")).first()[0] for name in ("ledger", "evidence")}

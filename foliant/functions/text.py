@@ -176,3 +176,16 @@ def heading_phrases(title: Column) -> Column:
     core = F.when(drop > 0, F.slice(tail, F.lit(1), (F.size(tail) - drop + 1).cast("int"))).otherwise(F.array().cast("array<string>"))
     phrase = lambda n: F.when((F.size(core) >= n) & ~F.lower(F.get(core, F.size(core) - n)).isin(stops), F.lower(F.array_join(F.slice(core, F.greatest(F.size(core) - n + 1, F.lit(1)), F.lit(n)), " ")))
     return F.when(F.size(words) >= 2, F.filter(F.array(phrase(3), phrase(2)), lambda p: p.isNotNull())).otherwise(F.array().cast("array<string>"))
+
+
+def running_head(head: Column, folio: Column) -> Column:
+    """The section that a running head names: without the folio, spaced small capitals joined, white space collapsed; null if nothing is left.
+
+    One pass joins every capital with the run of capitals behind it; what it has joined is no capital run
+    any more, so nothing is left for another pass.
+    """
+    bare = F.when(folio.isNull(), head).otherwise(F.regexp_replace(head, F.concat(F.lit("(?i)\\b\\Q"), F.coalesce(folio, F.lit("")), F.lit("\\E\\b")), F.lit("")))
+    parts = F.split(F.regexp_replace(bare, r"\b([A-Z])\s{1,3}([A-Z]{2,})", "\u0001$1\u0002$2\u0001"), "\u0001")
+    joined = F.array_join(F.transform(parts, lambda p: F.when(F.contains(p, F.lit("\u0002")), F.initcap(F.lower(F.replace(p, F.lit("\u0002"), F.lit(""))))).otherwise(p)), "")
+    out = F.trim(F.regexp_replace(joined, r"\s+", " "))
+    return F.when(out != "", out)

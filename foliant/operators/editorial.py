@@ -1,76 +1,162 @@
 """Editorial rules on index entries, and the consolidation of entries before rendering.
 
-Entries are rows (id, canonical, variants, locators), variants an array of strings and locators a
-sorted array of (section_ref, folio). Rules are small tables (rule, term, target) and are broadcast;
-a rule that fits nothing, or a renaming that fits two entries, is reported as a mismatch.
+Entries are rows (id, canonical, variants), their locators rows (id, section_ref, folio), so no entry
+has to hold all its places. Rules are a fixture of a few rows (rule, term, target) in order. They
+apply class by class in ORDER and one after the other inside a class, each to what the ones before
+it have left. Only names that rules mention can change, so the rules are first run on the driver over
+the counts of these names; that gives one small table of fates, and one join applies them all.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed order in which classes of rules apply.
 ORDER = ("R4", "R5", "R6", "R7", "R3", "R8", "R2", "R1", "R9")
-
-
-def _of(rules: DataFrame, rule: str) -> DataFrame:
-    return F.broadcast(rules.where(F.col("rule") == rule).select("term", "target").dropDuplicates(["term"]))
-
-
-def delete_entries(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """R4."""
-    return entries.join(_of(rules, "R4").select(F.col("term").alias("canonical")), "canonical", "left_anti").select(*entries.columns)
-
-
-def fold_entries(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """R7: an artifact's variants and locators go to its target, merged and sorted."""
-    folded = entries.join(_of(rules, "R7"), F.col("canonical") == F.col("term"), "left").withColumn("canonical", F.coalesce("target", "canonical")).withColumn("own", F.col("target").isNull())
-    merged = folded.groupBy("canonical").agg(F.min_by("id", F.struct((~F.col("own")).alias("o"), "id")).alias("id"), F.flatten(F.collect_list("variants")).alias("v"), F.flatten(F.collect_list("locators")).alias("l"))
-    return merged.select("id", "canonical", F.array_sort(F.array_distinct("v")).alias("variants"), F.array_sort(F.array_distinct("l")).alias("locators"))
-
-
-def rename_entries(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """R3 and R8: exact renaming; a term that fits several entries renames none."""
-    out = entries
-    for rule in ("R3", "R8"):
-        single = out.groupBy("canonical").agg(F.count("*").alias("n")).where("n = 1").select(F.col("canonical").alias("one"))
-        usable = _of(rules, rule).join(single, F.col("term") == F.col("one")).select("term", "target")
-        out = out.join(F.broadcast(usable), F.col("canonical") == F.col("term"), "left").withColumn("canonical", F.coalesce("target", "canonical")).select(*entries.columns)
+#: The most rules of a fixture, which bounds what reaches the driver and the table of fates.
+MOST_RULES = 20_000
+NBSP = "\u00a0"
+
+
+@dataclass
+class Group:
+    """Entries of one name: what becomes of them."""
+
+    first: str
+    now: str | None
+    n: int
+    cleared: bool = False
+    into: str | None = None
+
+
+@dataclass
+class Compiled:
+    """The fates of the names that rules mention, and what is left to the renderer."""
+
+    groups: list[Group] = field(default_factory=list)
+    mismatches: list[tuple[str, str, str]] = field(default_factory=list)
+    report: list[tuple[str, str, str]] = field(default_factory=list)
+    removed_xrefs: set[str] = field(default_factory=set)
+    suppressed_stems: set[str] = field(default_factory=set)
+    replacements: list[tuple[str, str]] = field(default_factory=list)
+
+
+def run_rules(counts: dict[str, int], rules: list[tuple[str, str, str | None]]) -> Compiled:
+    """The rules over names and how many entries each has. A rule whose result is there already does nothing."""
+    out = Compiled([Group(name, name, n) for name, n in sorted(counts.items())])
+    live = lambda name: [g for g in out.groups if g.now == name]
+
+    def one(rule: str, term: str, target: str | None) -> str:
+        if rule == "R5":
+            out.removed_xrefs.add(term)
+            return "deferred"
+        if rule == "R6":
+            out.suppressed_stems.add(term)
+            return "deferred"
+        if rule == "R9":
+            out.replacements.append((term, target or ""))
+            return "deferred"
+        own, there = live(term), live(target) if target is not None else []
+        if rule == "R4":
+            for g in own:
+                g.now = None
+        elif rule == "R7":
+            if not there:
+                return "no_match"
+            for g in own:
+                g.now, g.into = None, there[0].first
+        elif rule == "R2":
+            if there:
+                return "unchanged"
+            own = [g for g in out.groups if g.now is not None and g.now.lower() == term.lower()]
+            for g in own:
+                g.now = target
+        elif rule == "R1":
+            if own and all(g.cleared for g in own):
+                return "unchanged"
+            for g in own:
+                g.cleared = True
+        else:
+            if rule == "R3" and sum(g.n for g in own) > 1:
+                return "ambiguous"
+            for g in own:
+                g.now = target
+        return "applied" if own else "unchanged" if there else "no_match"
+
+    for kind in ORDER:
+        for rule, term, target in rules:
+            if rule == kind:
+                status = one(rule, term, target)
+                out.report.append((rule, term, status))
+                if status in ("no_match", "ambiguous"):
+                    missing = target if rule == "R7" and not live(target) else term
+                    out.mismatches.append((rule, missing, status))
     return out
 
 
-def recase_entries(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """R2: a canonical that differs by case only takes the given form."""
-    forms = _of(rules, "R2").select(F.col("target").alias("form"), F.lower("target").alias("low"))
-    return entries.join(F.broadcast(forms), F.lower("canonical") == F.col("low"), "left").withColumn("canonical", F.coalesce("form", "canonical")).select(*entries.columns)
-
-
-def clear_variants(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """R1."""
-    cleared = _of(rules, "R1").select(F.col("term").alias("t"))
-    return entries.join(cleared, F.col("canonical") == F.col("t"), "left").withColumn("variants", F.when(F.col("t").isNull(), F.col("variants")).otherwise(F.array().cast("array<string>"))).select(*entries.columns)
+def compile_rules(entries: DataFrame, rules: DataFrame) -> Compiled:
+    """run_rules over the entries whose name, in any case, a rule mentions."""
+    given = [(r["rule"], r["term"], r["target"]) for r in rules.select("rule", "term", "target").limit(MOST_RULES + 1).collect()]
+    if len(given) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    names = sorted({n.lower() for _, *ns in given for n in ns if n is not None})
+    mentioned = entries.sparkSession.createDataFrame([(n,) for n in names], "low string")
+    rows = entries.select("canonical", F.lower("canonical").alias("low")).join(F.broadcast(mentioned), "low", "left_semi").groupBy("canonical").agg(F.count("*").alias("n")).collect()
+    return run_rules({r["canonical"]: r["n"] for r in rows}, given)
+
+
+def apply_compiled(entries: DataFrame, locators: DataFrame, done: Compiled) -> tuple[DataFrame, DataFrame]:
+    """(entries, locators) after the rules. Folded locators go to the first entry, by id, of their target; equal ones count once."""
+    spark = entries.sparkSession
+    fates = F.broadcast(spark.createDataFrame([(g.first, g.now, g.cleared, g.into) for g in done.groups], "first string, now string, cleared boolean, into string"))
+    marked = entries.join(fates, F.col("canonical") == F.col("first"), "left")
+    known = F.col("first").isNotNull()
+    none = F.array().cast("array<string>")
+    kept = marked.where(~known | F.col("now").isNotNull()).select("id", F.when(known, F.col("now")).otherwise(F.col("canonical")).alias("canonical"), F.when(F.col("cleared"), none).otherwise(F.col("variants")).alias("variants"))
+    folded = marked.where("into IS NOT NULL").select("id", "into")
+    targets = marked.where(known).groupBy("canonical").agg(F.min("id").alias("to")).select(F.col("canonical").alias("into"), "to")
+    moves = folded.join(targets, "into").select("id", "to")
+    gone = marked.where(known & F.col("now").isNull()).select("id")
+    placed = locators.join(gone, "id", "left_anti").select("id", "section_ref", "folio").union(locators.join(moves, "id").select(F.col("to").alias("id"), "section_ref", "folio"))
+    return kept, placed.distinct()
+
+
+def apply_rules(entries: DataFrame, locators: DataFrame, rules: DataFrame, allow_stale: bool = False) -> tuple[DataFrame, DataFrame, Compiled]:
+    """(entries, locators, what was done). Rules that fit nothing, or several entries where one is meant, abort unless allow_stale."""
+    done = compile_rules(entries, rules)
+    if done.mismatches and not allow_stale:
+        raise ValueError(f"rules that do not fit: {done.mismatches}")
+    return *apply_compiled(entries, locators, done), done
+
+
+def suggestions(terms: DataFrame, entries: DataFrame, top: int = 3, cutoff: float = 0.6) -> DataFrame:
+    """(term, rank, canonical): the names most like each unmatched term, by matching blocks, ties by falling name; terms (term) are few.
+
+    Each partition keeps the best of its names, so top rows for each term and partition are shuffled.
+    """
+    wanted = [r["term"] for r in terms.select("term").distinct().limit(MOST_RULES).collect()]
 
+    def best(batches):
+        import difflib
+        import heapq
 
-def mismatches(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rule, term, reason) of rules on entries that fit none, or, for renamings, several. Rules apply in ORDER, so they are held against the entries of their turn."""
-    out, turn = None, entries
-    steps = {"R4": delete_entries, "R7": fold_entries, "R3": rename_entries, "R2": recase_entries, "R1": clear_variants}
-    for rule in ("R4", "R7", "R3", "R2", "R1"):
-        own = _of(rules, rule).select(F.lit(rule).alias("rule"), "term", F.lower("term").alias("low"))
-        counts = turn.groupBy((F.lower("canonical") if rule == "R2" else F.col("canonical")).alias("key")).agg(F.count("*").alias("n"))
-        held = own.join(counts, (F.col("low") if rule == "R2" else F.col("term")) == F.col("key"), "left")
-        bad = held.where(F.col("n").isNull() | ((F.col("n") > 1) & F.lit(rule == "R3"))).select("rule", "term", F.when(F.col("n").isNull(), "no_match").otherwise("ambiguous").alias("reason"))
-        out = bad if out is None else out.union(bad)
-        turn = steps[rule](turn, rules)
-    return out
+        import pandas as pd
 
+        held = {t: [] for t in wanted}
+        for batch in batches:
+            for name in batch["canonical"].dropna():
+                for t in wanted:
+                    m = difflib.SequenceMatcher(None, name, t)
+                    if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff and (score := m.ratio()) >= cutoff:
+                        held[t] = heapq.nlargest(top, [*held[t], (score, name)])
+        yield pd.DataFrame([(t, s, n) for t, rows in held.items() for s, n in rows], columns=["term", "score", "canonical"])
 
-def apply_rules(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """All rules on entries, in the fixed order of their classes."""
-    for step in (delete_entries, fold_entries, rename_entries, recase_entries, clear_variants):
-        entries = step(entries, rules)
-    return entries
+    rows = entries.select("canonical").distinct().mapInPandas(best, "term string, score double, canonical string")
+    rank = F.row_number().over(Window.partitionBy("term").orderBy(F.col("score").desc(), F.col("canonical").desc()))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= top).select("term", "rank", "canonical")
 
 
 def filter_variants(entries: DataFrame, keep: int = 3) -> DataFrame:
@@ -111,18 +197,4 @@ def parent_dedup(children: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def locator_text(section_ref: Column, folio: Column) -> Column:
-    return F.concat(F.lit("§ "), section_ref, F.lit(" (p. "), folio, F.lit(")"))
-
-
-def lines(entries: DataFrame, variants: DataFrame) -> DataFrame:
-    """(letter, ord, line) of the subject index, to be put in order of letter and ord; a divider heads each letter."""
-    shown = variants.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "variant"))), lambda x: x["variant"]), "; ").alias("also"))
-    rows = entries.join(shown, "id", "left")
-    where = F.array_join(F.transform("locators", lambda x: locator_text(x["section_ref"], x["folio"])), ", ")
-    text = F.concat(F.col("canonical"), F.when(F.col("also").isNotNull(), F.concat(F.lit(" ("), F.col("also"), F.lit(")"))).otherwise(""), F.when(F.size("locators") > 0, F.concat(F.lit(", "), where)).otherwise(""))
-    key = F.lower("canonical")
-    letter = F.upper(F.left(key, F.lit(1)))
-    order = F.row_number().over(Window.partitionBy("letter").orderBy("key", "id"))
-    body = rows.select(letter.alias("letter"), key.alias("key"), "id", text.alias("line")).select("letter", order.alias("ord"), "line")
-    heads = body.select("letter").distinct().select("letter", F.lit(0).alias("ord"), F.concat(F.lit("## "), F.col("letter")).alias("line"))
-    return heads.union(body)
+    return F.concat(F.lit(f"§{NBSP}"), section_ref, F.lit(f" (p.{NBSP}"), folio, F.lit(")"))

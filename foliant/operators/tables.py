@@ -48,3 +48,25 @@ def short_forms(cites: DataFrame) -> DataFrame:
 
 def counters(found: DataFrame) -> DataFrame:
     return found.groupBy("kind", "system").agg(F.count("*").alias("n"))
+
+
+def bridged(found: DataFrame, spellings: DataFrame) -> DataFrame:
+    """(name, pdf_page, start): where a citation is found in any of its spellings, a place once; found has hits (term, pdf_page, start), spellings (name, spelling)."""
+    return found.join(spellings, F.col("term") == F.col("spelling")).select("name", "pdf_page", "start").distinct()
+
+
+def parent_rule(names: DataFrame) -> DataFrame:
+    """Names of rules that may be verified: a subsection in brackets is an error, as tokens do not hold it."""
+    return names.select("name", F.when(F.contains("name", F.lit("(")), F.raise_error(F.concat(F.lit("not a bare rule: "), F.col("name")))).otherwise(F.trim("name")).alias("term"))
+
+
+def derived(surfaces: DataFrame) -> DataFrame:
+    """(bucket) of surfaces (bucket, surface) where one names a case and another, of several words, holds the last word of its first party."""
+    is_case = F.col("surface").rlike(r"[A-Za-z.'-]+\s+v\.\s+[A-Za-z]")
+    words = F.split(F.lower("surface"), r"\s+")
+    party = F.lower(F.element_at(F.split(F.trim(F.substring_index("surface", " v.", 1)), r"\s+"), -1))
+    rows = surfaces.select("bucket", is_case.alias("case"), party.alias("party"), words.alias("words"))
+    parties = rows.where("case").select("bucket", "party").distinct()
+    # Joined on the word, so buckets of many surfaces do not pair all of them.
+    others = rows.where(~F.col("case") & (F.size("words") > 1)).select("bucket", F.explode(F.array_distinct("words")).alias("party"))
+    return others.join(parties, ["bucket", "party"], "left_semi").select("bucket").distinct()

@@ -1,9 +1,10 @@
 """Phrase verification: every occurrence of many phrases in one plan.
 
 A phrase matches at a position exactly, by lemma, or as one of its variants; at each start the
-first of these counts. Each alternative is anchored at its rarest word. The anchors are joined with
-the tokens, which leaves few candidates, and only these are compared with their page's tokens. One
-scan serves all phrases.
+first of these counts. Each phrase is anchored at its longest word, which stands for its rarest: no
+pass over the corpus is needed to find it. Tokens are exploded once and joined once, by lemma, which
+every mode shares; that leaves few candidates. One more join gives these the tokens of their page, and
+with them the match, its text and its snippet.
 """
 
 from __future__ import annotations
@@ -22,42 +23,42 @@ def tokenize(text: Column) -> Column:
 
 
 def alternatives(terms: DataFrame, variants: DataFrame | None = None) -> DataFrame:
-    """(term, rank, mode, words): exact, lemma, then variants in their order; terms (term), variants (term, variant, ordinal).
+    """(term, rank, words): the words of the term with rank 0, then variants in their order; terms (term), variants (term, variant, ordinal).
 
     Terms without a word are dropped.
     """
-    base = terms.select("term", tokenize(F.col("term")).alias("words")).where(F.size("words") > 0)
-    exact = base.select("term", F.lit(0).alias("rank"), F.lit("exact").alias("mode"), "words")
-    lemma = base.select("term", F.lit(1).alias("rank"), F.lit("lemma").alias("mode"), F.transform("words", T.lemma).alias("words"))
-    out = exact.union(lemma)
+    out = terms.select("term", F.lit(0).alias("rank"), tokenize(F.col("term")).alias("words"))
     if variants is not None:
-        more = variants.select("term", (F.col("ordinal") + 2).alias("rank"), F.lit("variant").alias("mode"), tokenize(F.col("variant")).alias("words")).where(F.size("words") > 0)
-        out = out.union(more)
-    return out
+        out = out.union(variants.select("term", (F.col("ordinal") + 1).cast("int"), tokenize(F.col("variant"))))
+    return out.where(F.size("words") > 0)
 
 
-def hits(pages: DataFrame, terms: DataFrame, variants: DataFrame | None = None) -> DataFrame:
+def hits(pages: DataFrame, terms: DataFrame, variants: DataFrame | None = None, texts: bool = False) -> DataFrame:
     """(term, pdf_page, start, stop, mode): all matches, overlapping ones too; stop is the last position.
 
-    pages (pdf_page, texts, norms). Windows never cross pages and run over body tokens only.
+    pages (pdf_page, texts, norms). Windows never cross pages and run over body tokens only. A null
+    page has no match. With texts, also the matched text and the snippet.
     """
     alts = alternatives(terms, variants)
     few = alts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    send = F.broadcast if few else (lambda df: df)
     rows = pages.select("pdf_page", T.pinned(F.col("norms")).alias("w")).select("pdf_page", F.posexplode("w").alias("pos", "norm"))
-    tokens = rows.select("pdf_page", "pos", "norm", T.lemma(F.col("norm")).alias("lemma"))
-    # The longest word of an alternative stands for its rarest: no pass over the corpus is needed to find it.
+    tokens = rows.select("pdf_page", "pos", T.lemma(F.col("norm")).alias("lemma"))
     place = F.array_position(F.transform("words", F.length), F.array_max(F.transform("words", F.length))) - 1
-    anchored = alts.select("term", "rank", "mode", "words", place.cast("int").alias("place")).withColumn("anchor", F.get("words", F.col("place")))
-    by_norm = tokens.join(send(anchored.where("mode <> 'lemma'")), F.col("norm") == F.col("anchor"))
-    by_lemma = tokens.join(send(anchored.where("mode = 'lemma'")), F.col("lemma") == F.col("anchor"))
-    cols = ["pdf_page", (F.col("pos") - F.col("place")).alias("start"), "term", "rank", "mode", "words"]
-    candidates = by_norm.select(*cols).union(by_lemma.select(*cols)).where("start >= 0")
+    anchored = alts.withColumn("place", place.cast("int")).withColumn("anchor", T.lemma(F.get("words", F.col("place"))))
+    met = tokens.join(F.broadcast(anchored) if few else anchored, F.col("lemma") == F.col("anchor"))
+    candidates = met.select("pdf_page", (F.col("pos") - F.col("place")).alias("start"), "term", "rank", "words").where("start >= 0")
+    both = candidates.join(pages.select("pdf_page", "norms", *(["texts"] if texts else [])), "pdf_page")
     own = F.slice("norms", F.col("start") + 1, F.size("words"))
-    same = F.when(F.col("mode") == "lemma", F.transform(own, T.lemma)).otherwise(own) == F.col("words")
-    found = candidates.join(pages.select("pdf_page", "norms"), "pdf_page").where(same)
-    first = F.row_number().over(Window.partitionBy("term", "pdf_page", "start").orderBy("rank"))
-    return found.select("term", "pdf_page", "start", (F.col("start") + F.size("words") - 1).alias("stop"), "mode", "rank").withColumn("n", first).where("n = 1").drop("n", "rank")
+    same = own == F.col("words")
+    by_lemma = F.transform(own, T.lemma) == F.transform("words", T.lemma)
+    mode = F.when(F.col("rank") > 0, F.when(same, "variant")).when(same, "exact").when(by_lemma, "lemma")
+    stop = F.col("start") + F.size("words") - 1
+    more = [F.array_join(F.slice("texts", F.col("start") + 1, F.size("words")), " ").alias("matched"), snippet(F.col("texts"), F.col("start")).alias("snippet")] if texts else []
+    found = both.select("term", "pdf_page", "start", stop.alias("stop"), mode.alias("mode"), "rank", *more).where("mode IS NOT NULL")
+    if variants is not None:
+        first = F.row_number().over(Window.partitionBy("term", "pdf_page", "start").orderBy("rank"))
+        found = found.withColumn("n", first).where("n = 1").drop("n")
+    return found.drop("rank")
 
 
 def snippet(texts: Column, at: Column) -> Column:
@@ -67,15 +68,15 @@ def snippet(texts: Column, at: Column) -> Column:
     return F.when(F.length(near) >= SNIPPET_CHARS, near).when(F.length(far) >= SNIPPET_CHARS, far)
 
 
-def evidence(found: DataFrame, pages: DataFrame, placed: DataFrame, folios: DataFrame) -> DataFrame:
-    """Evidence rows of hits; hits outside sections below a chapter are left out, and so are those without a snippet.
+def evidence(found: DataFrame, placed: DataFrame, folios: DataFrame) -> DataFrame:
+    """Evidence rows of hits with texts; hits outside sections below a chapter are left out, and so are those without a snippet.
 
     placed (pdf_page, section_ref, level, section_path), folios (pdf_page, folio).
     """
-    out = found.join(placed.where("level > 0"), "pdf_page").join(folios.select("pdf_page", "folio"), "pdf_page").join(pages.select("pdf_page", "texts"), "pdf_page")
+    out = found.where("snippet IS NOT NULL").join(placed.where("level > 0"), "pdf_page").join(folios.select("pdf_page", "folio"), "pdf_page")
     return out.select(
         F.col("term").alias("canonical_term"),
-        F.array_join(F.slice("texts", F.col("start") + 1, F.col("stop") - F.col("start") + 1), " ").alias("matched_variant"),
+        F.col("matched").alias("matched_variant"),
         "section_ref",
         F.col("level").alias("section_level"),
         "section_path",
@@ -83,8 +84,8 @@ def evidence(found: DataFrame, pages: DataFrame, placed: DataFrame, folios: Data
         "pdf_page",
         F.col("start").alias("token_offset"),
         F.col("mode").alias("match_mode"),
-        snippet(F.col("texts"), F.col("start")).alias("verbatim_snippet"),
-    ).where(F.col("verbatim_snippet").isNotNull())
+        F.col("snippet").alias("verbatim_snippet"),
+    )
 
 
 def sweep(rows: DataFrame) -> DataFrame:

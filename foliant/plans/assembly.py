@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import editorial as E
 from foliant.operators import graph as G
 from foliant.operators import tables as B
 from foliant.operators import verify as V
@@ -16,80 +15,6 @@ from foliant.plans.scalars import CITED, _sql_lemma
 from foliant.session import table
 from foliant.sources import corpus
 
-ENTRIES = [
-    ("e1", "hearsay rule", "hearsay rules|HEARSAY RULE|rule of hearsay", "1.01:3|1.02:7"), ("e2", "hearsay rules", "", "1.01:3|1.02:7"), ("e3", "witness", "witnesses|expert|expert witness|eye", "2.01:9"), ("e4", "Motion", "motions", ""),
-    ("e5", "motion practice", "practice|the practice of motions|motion-practice|moving", "2.02:11|2.03:14"), ("e6", "damages", "damage", "3.01:20"), ("e7", "damage", "", "3.01:20"), ("e8", "artifact .", "art", "4.01:1|2.01:9"), ("e9", "twin", "a", "5.01:2"), ("e10", "twin", "b", "5.02:3"),
-    ("e11", "frcp", "", "6.01:4"), ("e12", "cut me", "x", "6.01:5"),
-]
-RULES = [("R1", "witness", None), ("R2", "FRCP", "FRCP"), ("R3", "Motion", "motion"), ("R3", "twin", "twins"), ("R4", "cut me", None), ("R7", "artifact .", "witness"), ("R3", "absent", "nothing"), ("R4", "gone", None), ("R8", "motion practice", "motion practices")]
-SQL_ENTRIES = values(ENTRIES, "id, canonical, v, l")
-
-
-def _entries(spark: SparkSession) -> DataFrame:
-    split = lambda c: F.filter(F.split(c, r"\|"), lambda x: x != "")
-    rows = literal(spark, ENTRIES, "id string, canonical string, v string, l string")
-    place = lambda x: F.struct(F.substring_index(x, ":", 1).alias("section_ref"), F.substring_index(x, ":", -1).alias("folio"))
-    return rows.select("id", "canonical", split(F.col("v")).alias("variants"), F.transform(split(F.col("l")), place).alias("locators"))
-
-
-def _rules(spark: SparkSession) -> DataFrame:
-    return literal(spark, RULES, "rule string, term string, target string")
-
-
-def _flat(entries: DataFrame) -> DataFrame:
-    return entries.select("id", "canonical", F.array_join("variants", "|").alias("v"), F.array_join(F.transform("locators", lambda x: F.concat_ws(":", x["section_ref"], x["folio"])), "|").alias("l"))
-
-
-@query("ed00_apply_rules", f"""WITH e AS (SELECT id, canonical, list_filter(string_split(v, '|'), lambda x: x <> '') AS v, list_filter(string_split(l, '|'), lambda x: x <> '') AS l FROM {SQL_ENTRIES}),
-r4 AS (SELECT * FROM e WHERE canonical <> 'cut me'), r7 AS (SELECT CASE WHEN canonical = 'artifact .' THEN 'witness' ELSE canonical END AS canonical, CASE WHEN canonical = 'artifact .' THEN 1 ELSE 0 END AS o, id, v, l FROM r4),
-m7 AS (SELECT canonical, arg_min(id, CAST(o AS VARCHAR) || id) AS id, list_sort(list_distinct(flatten(list(v)))) AS v, list_sort(list_distinct(flatten(list(l)))) AS l FROM r7 GROUP BY canonical),
-r3 AS (SELECT id, CASE canonical WHEN 'Motion' THEN 'motion' WHEN 'motion practice' THEN 'motion practices' WHEN 'frcp' THEN 'FRCP' WHEN 'twin' THEN 'twins' ELSE canonical END AS canonical, v, l FROM m7)
-SELECT id, canonical, CASE WHEN canonical = 'witness' THEN '' ELSE array_to_string(v, '|') END AS v, array_to_string(l, '|') AS l FROM r3""")
-def apply_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(E.apply_rules(_entries(spark), _rules(spark)))
-
-
-@query("ed00_mismatches", f"SELECT * FROM {values([('R3', 'absent', 'no_match'), ('R4', 'gone', 'no_match')], 'rule, term, reason')}")
-def rule_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.mismatches(_entries(spark), _rules(spark))
-
-
-@query("flt06_removed", f"SELECT id FROM {SQL_ENTRIES} WHERE canonical <> 'cut me'")
-def removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.delete_entries(_entries(spark), _rules(spark)).select("id")
-
-
-@query("flt10_variants")
-def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.filter_variants(_entries(spark))
-
-
-@query("jn21_plural_pairs", f"SELECT * FROM {values([('hearsay rule', 'hearsay rules')], 'singular, plural')}")
-def plural_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.plural_pairs(_entries(spark), ["damages"])
-
-
-@query("jn20_parent_dedup", f"SELECT * FROM {values([('motion', 'motion practice')], 'stem, canonical')}")
-def parent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = _entries(spark)
-    children = entries.where(F.col("canonical").isin("motion practice", "hearsay rule")).select(F.when(F.col("canonical") == "motion practice", "motion").otherwise("rule").alias("stem"), "canonical", "locators")
-    return E.parent_dedup(children, entries)
-
-
-@query("rnd01_index_lines")
-def index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = E.apply_rules(_entries(spark), _rules(spark))
-    return E.lines(entries, E.filter_variants(entries))
-
-
-@query("rnd02_entry_lines", f"{ALL}, {SWEEP}, el AS (SELECT canonical_term AS canonical, string_agg('§ ' || section_ref || ' (p. ' || folio || ')', ', ' ORDER BY section_ref, folio) AS w FROM sw GROUP BY 1), b AS (SELECT upper(left(canonical, 1)) AS letter, row_number() OVER (PARTITION BY upper(left(canonical, 1)) ORDER BY lower(canonical), canonical) AS ord, canonical || ', ' || w AS line FROM el) SELECT * FROM b UNION ALL SELECT DISTINCT letter, 0, '## ' || letter FROM b")
-def entry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rendered index of all verified terms, with letter dividers (WIN-14, RND-12)."""
-    rows = V.sweep(_ledger(spark, sf_dir)).groupBy("canonical_term").agg(F.array_sort(F.collect_list(F.struct("section_ref", "folio"))).alias("locators"))
-    entries = rows.select(F.col("canonical_term").alias("id"), F.col("canonical_term").alias("canonical"), "locators")
-    return E.lines(entries, spark.createDataFrame([], "id string, rank int, variant string"))
-
-
 def _hits(spark: SparkSession) -> DataFrame:
     return B.hits(literal(spark, CITED, "page int, chapter int, text string"))
 
@@ -132,22 +57,24 @@ def short_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("asm05_subdivide")
 def subdivide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    swept = V.sweep(_ledger(spark, sf_dir)).select("canonical_term", "section_ref", "folio")
+    # Read many times below, so it is kept in the checkpoint folder.
+    swept = G.settled(V.sweep(_ledger(spark, sf_dir)).select("canonical_term", "section_ref", "folio"))
     single = F.size(F.split("canonical_term", " ")) == 1
     return G.subdivide(swept.where(single).withColumnRenamed("canonical_term", "parent"), swept.where(~single).withColumnRenamed("canonical_term", "sub"))
 
 
-EDGES = "ed AS (SELECT doc_id AS src, CASE WHEN doc_id % 10 = 9 THEN doc_id - 9 ELSE doc_id + 1 END AS dst FROM documents WHERE doc_id < 40 UNION ALL SELECT doc_id, doc_id * 7 FROM documents WHERE doc_id BETWEEN 100 AND 200)"
+#: Each document points to that of half its number, and those of one source also to that of twice theirs.
+EDGES = "ed AS (SELECT doc_id AS src, doc_id // 2 AS dst FROM documents WHERE doc_id > 0 UNION ALL SELECT doc_id, doc_id * 2 FROM documents WHERE source = 'src3' AND doc_id > 0)"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("src"))
-    rings = docs.where("src < 40").withColumn("dst", F.when(F.col("src") % 10 == 9, F.col("src") - 9).otherwise(F.col("src") + 1))
-    return rings.union(docs.where("src BETWEEN 100 AND 200").withColumn("dst", F.col("src") * 7))
+    docs = table(spark, sf_dir, "documents").where("doc_id > 0").select(F.col("doc_id").alias("src"), "source")
+    return docs.select("src", F.floor(F.col("src") / 2).alias("dst")).union(docs.where("source = 'src3'").select("src", F.col("src") * 2))
 
 
-@query("asm07_cycles", f"WITH {EDGES} SELECT src, dst FROM ed WHERE src < 40")
+@query("asm07_cycles", f"WITH RECURSIVE {EDGES}, re AS (SELECT DISTINCT src, dst FROM ed UNION SELECT re.src, ed.dst FROM re JOIN ed ON ed.src = re.dst) SELECT DISTINCT ed.src, ed.dst FROM ed JOIN re ON re.src = ed.dst AND re.dst = ed.src")
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges on cycles: an edge is on one if its end reaches its start."""
     return G.on_cycles(_edges(spark, sf_dir))
 
 
@@ -188,21 +115,20 @@ def union_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passes.groupBy("k").agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("passes"))
 
 
-@query("agg05_noun_phrases", r"""WITH w AS (SELECT CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) + 1 AS chapter, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
-g AS (SELECT chapter, doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM w WHERE len(w) > 1)
-SELECT chapter, phrase, count(*) AS n, min(doc_id) AS first_page FROM g GROUP BY 1, 2 HAVING count(*) >= 5""")
+@query("agg05_noun_phrases", f"""WITH w AS (SELECT coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT), 0) + 1 AS chapter, doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+g AS (SELECT chapter, doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM w WHERE len(w) > 1),
+k AS (SELECT *, split_part(phrase, ' ', 1) AS a, split_part(phrase, ' ', 2) AS b FROM g)
+SELECT chapter, {_sql_lemma('a')} || ' ' || {_sql_lemma('b')} AS key, count(*) AS n, min(phrase) AS term, least(count(DISTINCT phrase) - 1, 10) AS variants, min(doc_id) AS first_page FROM k GROUP BY 1, 2 HAVING count(*) >= 2""")
 def noun_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-word phrases of a chapter that occur five times or more (rule-based stand-in for noun chunks)."""
+    """Two-word phrases of a chapter by their lemmas that occur twice or more (a stand-in for noun chunks): the alphabetically first form, and up to ten others."""
     docs = table(spark, sf_dir, "documents")
-    ws = docs.select((F.regexp_extract("source", "([0-9]+)$", 1).cast("int") + 1).alias("chapter"), "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0).alias("w"))
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return ws.select("chapter", "doc_id", F.explode(pairs).alias("phrase")).groupBy("chapter", "phrase").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_page")).where("n >= 5")
-
-
-@query("win12_chapter_text", "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
-def chapter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
+    chapter = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(0)) + 1
+    ws = docs.select(chapter.alias("chapter"), "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0).alias("w"))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    rows = ws.select("chapter", "doc_id", F.explode(pairs).alias("p")).select("chapter", "doc_id", F.concat_ws(" ", "p.a", "p.b").alias("phrase"), F.concat_ws(" ", T.lemma(F.col("p.a")), T.lemma(F.col("p.b"))).alias("key"))
+    # By form first, in the map tasks, so that counting forms needs no second pass over the tokens.
+    forms = rows.groupBy("chapter", "key", "phrase").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_page"))
+    return forms.groupBy("chapter", "key").agg(F.sum("n").alias("n"), F.min("phrase").alias("term"), F.least(F.count("*") - 1, F.lit(10)).alias("variants"), F.min("first_page").alias("first_page")).where("n >= 2")
 
 
 @query("win03_forward_fill", "SELECT doc_id, last_value(CASE WHEN n_chars % 5 = 0 THEN lang END IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id) AS marker FROM documents")
@@ -223,7 +149,7 @@ def title_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.join(titles.withColumn("known", F.lit(True)), "phrase", "left").where("known IS NULL OR odd = 1").select("phrase", "odd")
 
 
-@query("agg22_corpus_hash", "SELECT sha256(string_agg(h, '' ORDER BY h)) AS corpus_sha256 FROM (SELECT sha256(CAST(doc_id AS VARCHAR) || '|' || text) AS h FROM documents)")
+@query("agg22_corpus_hash", "WITH h AS (SELECT sha256('=' || doc_id || '|' || coalesce('=' || text, '~')) AS h FROM documents), b AS (SELECT left(h, 4) || ':' || count(*) || ':' || sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)::HUGEINT) || ':' || sum(CAST('0x' || substr(h, 17, 15) AS BIGINT)::HUGEINT) || ':' || sum(CAST('0x' || substr(h, 33, 15) AS BIGINT)::HUGEINT) || ':' || sum(CAST('0x' || substr(h, 49, 15) AS BIGINT)::HUGEINT) AS s FROM h GROUP BY left(h, 4)) SELECT sha256(string_agg(s, '|' ORDER BY s)) AS corpus_sha256 FROM b")
 def corpus_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.sources.sinks import content_hash
 

@@ -44,9 +44,16 @@ def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literal(spark, _LABELS, "id int, pass string, label string").join(lookup, ["pass", "label"], "left").select("id", F.coalesce("kind", F.lit("topic")).alias("kind"))
 
 
-@query("flt12_citation_noise", "SELECT doc_id FROM documents WHERE regexp_matches(text, '^\\s*(§|[Ii]d\\.|[Ss]upra)') OR length(text) < 20")
+#: Marks that an extractor takes for citations, next to ones that are some.
+MARKS = [("§",), ("§§ ",), ("§2",), ("§12.04",), ("§12.04.",), ("§3.14.5",), ("§12.041",), ("§ 2",), ("§12.04.123",), ("410 U.S.",), ("id.",)]
+
+
+@query("flt12_citation_noise", f"WITH m AS (SELECT * FROM {values(MARKS, 'mark')} UNION ALL SELECT unnest(regexp_extract_all(text, '§[^ ]*')) FROM documents) SELECT mark, count(*) AS n FROM m WHERE length(mark) <= 8 AND regexp_matches(trim(mark), '^(§+|§[0-9]+([.][0-9][0-9]([.][0-9]+)?)?[.]?)$') GROUP BY 1")
 def citation_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^\s*(§|[Ii]d\.|[Ss]upra)") | (F.length("text") < 20)).select("doc_id")
+    """Unknown citations of at most eight characters that are bare section signs or references inside the book."""
+    marks = literal(spark, MARKS, "mark string").union(table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("§[^ ]*"), 0))))
+    noise = (F.length("mark") <= 8) & F.trim("mark").rlike(r"^(§+|§\d+(\.\d{2}(\.\d+)?)?\.?)$")
+    return marks.where(noise).groupBy("mark").agg(F.count("*").alias("n"))
 
 
 @query("flt18_enabled_sources", f"SELECT doc_id FROM documents WHERE source IN (SELECT code FROM {values([('src1', 1), ('src2', 0), ('src3', 1)], 'code, enabled')} WHERE enabled = 1)")
@@ -111,11 +118,11 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(F.contains("text", F.lit(" the "))).select("doc_id", F.substr("text", F.greatest(at - 97, F.lit(1)), F.lit(200)).alias("quote"))
 
 
-@query("srt10_merged_stream", "WITH m AS (SELECT lower(lang) AS k, 0 AS kind, doc_id AS ordinal FROM documents WHERE doc_id < 50 UNION ALL SELECT lower(source), 1, doc_id FROM documents WHERE doc_id < 50) SELECT k, kind, ordinal, row_number() OVER (PARTITION BY left(k, 1) ORDER BY k, kind, ordinal) AS place FROM m")
+@query("srt10_merged_stream", "WITH m AS (SELECT lower(lang) AS k, 0 AS kind, doc_id AS ordinal FROM documents UNION ALL SELECT lower(source), 1, doc_id FROM documents) SELECT k, kind, ordinal, row_number() OVER (PARTITION BY k, kind ORDER BY ordinal) AS place FROM m")
 def merged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id < 50")
+    docs = table(spark, sf_dir, "documents")
     rows = docs.select(F.lower("lang").alias("k"), F.lit(0).alias("kind"), F.col("doc_id").alias("ordinal")).union(docs.select(F.lower("source"), F.lit(1), "doc_id"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.left("k", F.lit(1))).orderBy("k", "kind", "ordinal")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("k", "kind").orderBy("ordinal")))
 
 
 _HYPHENS = [(1, "evi-", "dence"), (2, "cross-", "examination"), (3, "well-", "Known"), (4, "A-", "1"), (5, "plain", "text")]
@@ -128,7 +135,7 @@ def hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(known.withColumn("known", F.lit(True)), "word", "left").select("id", "hyphen", (F.col("hyphen") & F.col("b").rlike("^[a-z]") & F.coalesce("known", F.lit(False))).alias("joins"))
 
 
-@query("str17_locator_text", f"{ALL}, {SWEEP} SELECT canonical_term, '§ ' || section_ref || ' (p. ' || folio || ')' AS label FROM sw")
+@query("str17_locator_text", f"{ALL}, {SWEEP} SELECT canonical_term, '§' || chr(160) || section_ref || ' (p.' || chr(160) || folio || ')' AS label FROM sw")
 def locator_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.operators.editorial import locator_text
 

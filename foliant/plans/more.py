@@ -10,7 +10,7 @@ from foliant.operators import index as I
 from foliant.operators import layout as L
 from foliant.operators import verify as V
 from foliant.plans.base import literal, query, values
-from foliant.plans.indexing import ALL, PAGES, PLACED, STARTS, SWEEP, TOKENS, _ledger
+from foliant.plans.indexing import ALL, OPENINGS, PAGES, PLACED, STARTS, SWEEP, TOKENS, VERSIONS, _ledger, openings, versions
 from foliant.plans.layouts import BLOCKS, _blocks
 from foliant.plans.scalars import _sql_lemma
 from foliant.session import table
@@ -92,10 +92,10 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(spark, sf_dir).select("canonical_term", "pdf_page", "token_offset", F.length("verbatim_snippet").alias("n_chars"))
 
 
-@query("jn08_chapter_window", f"{ALL}, bo AS (SELECT chapter, min(pdf_page) AS a, max(pdf_page) AS b FROM pg WHERE chapter <= 3 GROUP BY 1) SELECT canonical_term, bo.chapter, count(*) AS n FROM ev JOIN bo ON pdf_page BETWEEN a AND b WHERE verbatim_snippet IS NOT NULL GROUP BY ALL")
+@query("jn08_chapter_window", f"{ALL}, bo AS (SELECT chapter, min(pdf_page) AS a, max(pdf_page) AS b FROM pg GROUP BY 1) SELECT canonical_term, bo.chapter, count(*) AS n FROM ev JOIN bo ON pdf_page BETWEEN a AND b WHERE verbatim_snippet IS NOT NULL GROUP BY ALL")
 def chapter_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A few chapters only: the bounds are broadcast.
-    bounds = corpus.pages(spark, sf_dir).where("chapter <= 3").groupBy("chapter").agg(F.min("pdf_page").alias("a"), F.max("pdf_page").alias("b"))
+    # One row for each chapter of the book.
+    bounds = corpus.pages(spark, sf_dir).groupBy("chapter").agg(F.min("pdf_page").alias("a"), F.max("pdf_page").alias("b"))
     return _ledger(spark, sf_dir).join(F.broadcast(bounds), F.col("pdf_page").between(F.col("a"), F.col("b"))).groupBy("canonical_term", "chapter").agg(F.count("*").alias("n"))
 
 
@@ -143,9 +143,9 @@ def first_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
 def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.plans.indexing import _terms
 
-    page, arrays = corpus.pages(spark, sf_dir), corpus.page_tokens(spark, sf_dir)
-    hits = V.hits(arrays, _terms(spark, sf_dir))
-    rows = V.evidence(hits, arrays, corpus.page_sections(page), page)
+    page = corpus.pages(spark, sf_dir)
+    hits = V.hits(corpus.page_tokens(spark, sf_dir), _terms(spark, sf_dir), texts=True)
+    rows = V.evidence(hits, corpus.page_sections(page), page)
     swept = V.sweep(rows)
     one = lambda df, name, what=F.count("*"): df.agg(what.alias(name))
     out = one(_terms(spark, sf_dir), "terms")
@@ -162,17 +162,20 @@ def folio_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ok", rises).withColumn("all", F.min("ok").over(Window.partitionBy("chapter", "parity"))).where("all").select("chapter", "ordinal", "number")
 
 
-@query("win08_section_order", f"WITH {PAGES}, {STARTS} SELECT chapter, level, section_ref FROM (SELECT *, lag(section_ref) OVER (PARTITION BY chapter, level ORDER BY start_page) AS before FROM st) WHERE section_ref <= before")
+@query("win08_section_order", f"WITH {PAGES}, {STARTS}, k AS (SELECT *, list_transform(string_split(section_ref, '.'), lambda x: CAST(x AS INT)) AS nums, regexp_replace(section_ref, '[.]?[0-9]+$', '') AS parent FROM st), b AS (SELECT 'book' AS scope, level, section_ref, nums, lag(nums) OVER (PARTITION BY level ORDER BY nums) AS before, start_page, lag(start_page) OVER (PARTITION BY level ORDER BY nums) AS page0, level = 0 AS held FROM k UNION ALL SELECT 'chapter', level, section_ref, nums, lag(nums) OVER (PARTITION BY chapter, level ORDER BY start_page), start_page, lag(start_page) OVER (PARTITION BY chapter, level ORDER BY start_page), true FROM k UNION ALL SELECT 'parent', level, section_ref, nums, lag(nums) OVER (PARTITION BY parent, level ORDER BY start_page), start_page, lag(start_page) OVER (PARTITION BY parent, level ORDER BY start_page), true FROM k WHERE level > 0) SELECT scope, level, section_ref FROM b WHERE held AND (nums <= before OR scope <> 'book' AND nums[-1] <> before[-1] + 1 AND scope = 'parent' OR scope = 'book' AND start_page <= page0)")
 def section_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections out of order: none in a good corpus."""
-    before = F.lag("section_ref").over(Window.partitionBy("chapter", "level").orderBy("start_page"))
-    return corpus.section_starts(corpus.pages(spark, sf_dir)).withColumn("before", before).where("section_ref <= before").select("chapter", "level", "section_ref")
+    """Sections out of order, by number and not by text: chapters of the book by page, sections of a chapter by page, and gaps among those of one parent."""
+    return L.section_violations(corpus.section_starts(corpus.pages(spark, sf_dir)))
 
 
-@query("win14_letter_dividers", f"WITH w AS (SELECT DISTINCT lower(trim(text[1:6])) AS k FROM documents), o AS (SELECT k, upper(left(k, 1)) AS letter FROM w) SELECT letter, min(k) AS first, count(*) AS n FROM o GROUP BY 1")
+@query("win14_letter_dividers", f"WITH {OPENINGS}, o AS (SELECT upper(left(k, 1)) AS letter, k, row_number() OVER (PARTITION BY upper(left(k, 1)) ORDER BY k, canonical) AS n FROM (SELECT lower(CASE WHEN regexp_matches(canonical, '^(The|An|A) ') THEN regexp_replace(canonical, '^(The|An|A) +', '') ELSE canonical END) AS k, canonical FROM op)) SELECT letter, k AS first FROM o WHERE n = 1")
 def letter_dividers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "documents").select(F.lower(F.trim(F.substring("text", 1, 6))).alias("k")).distinct()
-    return keys.groupBy(F.upper(F.left("k", F.lit(1))).alias("letter")).agg(F.min("k").alias("first"), F.count("*").alias("n"))
+    """A divider stands before each entry whose letter differs from that of the entry before it in order of sort key.
+
+    Entries are in order of key, so that is the first entry of each letter; it is found without a global sort.
+    """
+    keys = openings(spark, sf_dir).select(T.sort_key(F.col("canonical")).alias("k"))
+    return keys.groupBy(F.upper(F.left("k", F.lit(1))).alias("letter")).agg(F.min("k").alias("first"))
 
 
 @query("srt09_variant_order", "WITH v AS (SELECT DISTINCT source, lang FROM documents) SELECT source, string_agg(lang, '|' ORDER BY length(lang) DESC, lower(lang), lang) AS variants FROM v GROUP BY 1")
@@ -182,16 +185,19 @@ def variant_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "|").alias("variants"))
 
 
-@query("set05_added_removed", "SELECT doc_id, 'removed' AS side FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 1 UNION ALL SELECT doc_id, 'added' FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 = 0")
+@query("set05_added_removed", f"WITH {VERSIONS} SELECT doc_id, 'removed' AS side FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT doc_id, 'added' FROM n WHERE doc_id NOT IN (SELECT doc_id FROM o)")
 def added_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    old, new = docs.where("doc_id % 3 = 0"), docs.where("doc_id % 2 = 0")
+    old, new = (v.select("doc_id") for v in versions(spark, sf_dir))
     return old.exceptAll(new).withColumn("side", F.lit("removed")).union(new.exceptAll(old).withColumn("side", F.lit("added")))
 
 
-@query("set07_duplicate_terms", "SELECT lower(text[1:3]) AS term, count(DISTINCT lang) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1")
+@query("set07_duplicate_terms", "WITH t AS (SELECT lang, unnest(regexp_extract_all(text, '[A-Z][a-z]+ [a-z]+')) AS term FROM documents) SELECT lower(term) AS term, count(DISTINCT lang) AS n FROM t GROUP BY 1 HAVING count(DISTINCT lang) > 1")
 def duplicate_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.lower(F.substring("text", 1, 3)).alias("term")).agg(F.countDistinct("lang").alias("n")).where("n > 1")
+    """Terms in more than one class, which is an error of a classification."""
+    from foliant.plans.indexing import OPENING
+
+    terms = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(OPENING), 0)).alias("term"))
+    return terms.groupBy(F.lower("term").alias("term")).agg(F.countDistinct("lang").alias("n")).where("n > 1")
 
 
 @query("str16_auto_strip_xrefs", f"WITH x AS (SELECT * FROM {values([('a', 'b|c'), ('d', 'c'), ('e', '')], 'entry, see')}) SELECT entry, array_to_string(list_filter(string_split(see, '|'), lambda t: t <> 'c' AND t <> ''), '|') AS see FROM x")
@@ -205,10 +211,10 @@ def doc_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\s+([.,;:!?)])", "$1").alias("spaced"))
 
 
-@query("str19_strip_determiners", "SELECT doc_id, regexp_replace(left(text, 40), '^(?:(?i:the|a|an|this|that|these|those|his|her|its|their|our|your|my)\\s+)+', '') AS phrase FROM documents")
+@query("str19_strip_determiners", "SELECT doc_id, regexp_replace(text, '^(?:(?i:the|a|an|this|that|these|those|his|her|its|their|our|your|my)\\s+)+', '') AS phrase FROM documents")
 def determiners(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = r"^(?:(?i:the|a|an|this|that|these|those|his|her|its|their|our|your|my)\s+)+"
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 40), words, "").alias("phrase"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", words, "").alias("phrase"))
 
 
 @query("nlp07_capitalised_runs", "SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')) AS run FROM documents) GROUP BY 1")
@@ -218,18 +224,15 @@ def capitalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("run").agg(F.count("*").alias("n"))
 
 
-@query("jn18_stem_siblings", f"WITH e AS (SELECT DISTINCT array_to_string(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')[1:2], ' ') AS c FROM documents), w AS (SELECT DISTINCT c, {_sql_lemma('x')} AS stem FROM (SELECT c, unnest(string_split(lower(c), ' ')) AS x FROM e)), s AS (SELECT stem FROM w WHERE regexp_matches(stem, '^[a-z]{{4,}}$') GROUP BY 1 HAVING count(*) >= 3) SELECT stem, c AS canonical FROM w JOIN s USING (stem) WHERE stem NOT IN (SELECT lower(c) FROM e) AND stem <> 'that'")
+@query("jn18_stem_siblings", f"WITH {OPENINGS}, w AS (SELECT DISTINCT canonical, {_sql_lemma('x')} AS stem FROM (SELECT canonical, unnest(string_split(lower(canonical), ' ')) AS x FROM op)), s AS (SELECT stem FROM w WHERE regexp_matches(stem, '^[a-z]{{4,}}$') GROUP BY 1 HAVING count(*) >= 3) SELECT stem, canonical FROM w JOIN s USING (stem) WHERE stem NOT IN (SELECT lower(canonical) FROM op)")
 def stem_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), 0)
-    entries = table(spark, sf_dir, "documents").select(F.array_join(F.slice(ws, 1, 2), " ").alias("canonical")).distinct()
-    stems = I.synthetic_stems(entries).select("stem").join(entries.select(F.lower("canonical").alias("stem")), "stem", "left_anti").where("stem <> 'that'")
-    words = entries.select("canonical", F.explode(F.array_distinct(F.transform(F.split(F.lower("canonical"), " "), T.lemma))).alias("stem"))
-    return words.join(stems, "stem").select("stem", "canonical")
+    entries = openings(spark, sf_dir)
+    stems = I.synthetic_stems(entries).select("stem").join(entries.select(F.lower("canonical").alias("stem")), "stem", "left_anti")
+    return I.stem_members(entries).join(stems, "stem").select("stem", "canonical")
 
 
-@query("jn19_cross_ref_heads", f"WITH e AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')[1:2], ' ') AS c FROM documents), h AS (SELECT string_split(c, ' ')[-1] AS head, c FROM e WHERE contains(c, ' ')) SELECT head, min(c) AS target, count(*) AS n FROM h WHERE length(head) >= 4 AND head NOT IN ({', '.join(repr(h) for h in T.STOP_HEADS)}) AND head NOT IN (SELECT c FROM e) GROUP BY 1")
+@query("jn19_cross_ref_heads", f"WITH {OPENINGS}, e AS (SELECT DISTINCT lower(canonical) AS c FROM op), h AS (SELECT string_split(c, ' ')[-1] AS head, c FROM e) SELECT head, min(c) AS target, count(*) AS n FROM h WHERE length(head) >= 4 AND head NOT IN ({', '.join(repr(h) for h in T.STOP_HEADS)}) AND head NOT IN (SELECT c FROM e) GROUP BY 1")
 def cross_ref_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0)
-    entries = table(spark, sf_dir, "documents").select(F.array_join(F.slice(ws, 1, 2), " ").alias("c")).distinct()
-    heads = entries.where(F.contains("c", F.lit(" "))).select(T.head_noun(F.col("c")).alias("head"), "c").where(T.is_substantive(F.col("head")))
+    entries = openings(spark, sf_dir).select(F.lower("canonical").alias("c")).distinct()
+    heads = entries.select(T.head_noun(F.col("c")).alias("head"), "c").where(T.is_substantive(F.col("head")))
     return heads.join(entries.select(F.col("c").alias("head")), "head", "left_anti").groupBy("head").agg(F.min("c").alias("target"), F.count("*").alias("n"))

@@ -11,14 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+HASH_BUCKETS = 65_536
+
+
 def content_hash(df: DataFrame) -> DataFrame:
-    """One hash of all rows, whatever their order: the hash of the sorted row hashes.
+    """One hash of all rows, whatever their order: rows are hashed, added up inside buckets by their first digits, and the sums hashed in order of bucket.
 
-    Rows are hashed where they are; the last step joins 64 characters a row, so it is for tables of
-    an index, not for raw corpora.
+    Sums are of four pieces of a row's hash and need no order, so a bucket is combined in the map tasks
+    and the last step sees at most HASH_BUCKETS rows. A null field is not the same as an empty one.
     """
-    row = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in df.columns)), 256)
-    return df.select(row.alias("h")).agg(F.array_join(F.array_sort(F.collect_list("h")), "").alias("all")).select(F.sha2("all", 256).alias("corpus_sha256"))
+    row = F.sha2(F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in df.columns)), 256)
+    piece = lambda i: F.conv(F.substring("h", 16 * i + 1, 15), 16, 10).cast("decimal(38,0)")
+    rows = df.select(row.alias("h")).select(F.left("h", F.lit(4)).alias("bucket"), *(piece(i).alias(f"p{i}") for i in range(4)))
+    sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), *(F.sum(f"p{i}").alias(f"p{i}") for i in range(4)))
+    spelled = F.concat_ws(":", "bucket", F.col("n").cast("string"), *(F.col(f"p{i}").cast("string") for i in range(4)))
+    return sums.agg(F.array_join(F.array_sort(F.collect_list(spelled)), "|").alias("all")).select(F.sha2("all", 256).alias("corpus_sha256"))
 
 
 def write_sorted(df: DataFrame, path: str, keys: list[str]) -> None:
