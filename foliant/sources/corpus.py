@@ -17,7 +17,7 @@ BLANK_CHARS, FOOTNOTE_CHARS, SECTION_PAGES, SUBSECTION_PAGES = 50, 40, 10, 5
 RUN_PAGES = 4096
 
 
-def _run_of(page: Column) -> Column:
+def run_of(page: Column) -> Column:
     return F.floor(page / RUN_PAGES)
 
 
@@ -29,7 +29,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     chapter = (F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(0)) + 1).alias("chapter")
     full = F.col("n_chars") >= BLANK_CHARS
-    base = docs.select(chapter, F.col("doc_id").alias("pdf_page"), "n_chars", F.when(full, 1).otherwise(0).alias("full"), _run_of(F.col("doc_id")).alias("run"))
+    base = docs.select(chapter, F.col("doc_id").alias("pdf_page"), "n_chars", F.when(full, 1).otherwise(0).alias("full"), run_of(F.col("doc_id")).alias("run"))
     earlier = Window.partitionBy("chapter").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = base.groupBy("chapter", "run").agg(F.count("*").alias("n"), F.sum("full").alias("f"))
     before = runs.select("chapter", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"), F.coalesce(F.sum("f").over(earlier), F.lit(0)).alias("f"))
@@ -83,7 +83,7 @@ def page_sections(page: DataFrame) -> DataFrame:
     """
     starts = section_starts(page)
     events = starts.select("chapter", F.col("start_page").alias("at"), F.lit(0).alias("kind"), "level", "section_ref").union(page.select("chapter", "pdf_page", F.lit(1), F.lit(None).cast("int"), F.lit(None).cast("string")))
-    events = events.withColumn("run", _run_of(F.col("at")))
+    events = events.withColumn("run", run_of(F.col("at")))
     of = lambda n, c: F.when(F.col("level") == n, F.col(c))
     runs = events.groupBy("chapter", "run").agg(*(F.max_by(of(n, "section_ref"), of(n, "at")).alias(f"r{n}") for n in range(3)))
     earlier = Window.partitionBy("chapter").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
