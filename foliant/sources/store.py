@@ -6,6 +6,8 @@ so a build that was lost midway does not open.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,7 +109,7 @@ def write(spark: SparkSession, out: str, parts: dict[str, DataFrame], bands: Dat
     hashes = {name: sinks.content_hash(df).first()[0] for name, df in stored.items()}
     band = bands.select("top_cutoff", "bottom_cutoff", "mode", "top_peak", "bottom_peak").first().asDict()
     size = body_size.first()["mode"]
-    row = (1, *(stored[t].count() for t in ("pages", "sections", "tokens")), sinks.stable_json(band).decode(), size, None if size is None else size - 1.0, VERSION, FROZEN, hashes)
+    row = (1, *(stored[t].count() for t in ("pages", "sections", "tokens")), json.dumps(band, sort_keys=True), size, None if size is None else size - 1.0, VERSION, FROZEN, hashes)
     spark.createDataFrame([row], METADATA).coalesce(1).write.mode("overwrite").parquet(f"{out}/metadata")
 
 
