@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import assembly, headings, indexing, ingest, layouts, more, scalars, tree  # noqa: F401  they register their queries
+from foliant.plans import assembly, headings, indexing, ingest, layouts, more, scalars, titles, tree  # noqa: F401  they register their queries
 from foliant.plans.base import ORACLES, QUERIES, Query
 
 
