@@ -81,7 +81,8 @@ def lemma(norm: Column) -> Column:
     """A rule-based stand-in for a lemmatiser: regular plural endings come off."""
     n = F.length(norm)
     return (
-        F.when((n > 4) & norm.endswith("ies"), F.concat(F.left(norm, n - 3), F.lit("y")))
+        F.when(~norm.endswith("s"), norm)
+        .when((n > 4) & norm.endswith("ies"), F.concat(F.left(norm, n - 3), F.lit("y")))
         .when((n > 4) & norm.rlike("(ss|x|z|ch|sh)es$"), F.left(norm, n - 2))
         .when((n > 3) & norm.endswith("s") & ~norm.endswith("ss"), F.left(norm, n - 1))
         .otherwise(norm)

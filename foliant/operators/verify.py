@@ -3,8 +3,9 @@
 A phrase matches at a position exactly, by lemma, or as one of its variants; at each start the
 first of these counts. Each phrase is anchored at its longest word, which stands for its rarest: no
 pass over the corpus is needed to find it. Tokens are exploded once and joined once, by lemma, which
-every mode shares; that leaves few candidates. One more join gives these the tokens of their page, and
-with them the match, its text and its snippet.
+every mode shares. A frequent anchor leaves many candidates for each page, so they are told beside the
+tokens of their page, inside the scan: only matches are written. Phrases too many to broadcast meet the
+tokens by a shuffle, and their candidates the page by another.
 """
 
 from __future__ import annotations
@@ -41,23 +42,32 @@ def hits(pages: DataFrame, terms: DataFrame, variants: DataFrame | None = None,
     """
     alts = alternatives(terms, variants)
     few = alts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = pages.select("pdf_page", T.pinned(F.col("norms")).alias("w")).select("pdf_page", F.posexplode("w").alias("pos", "norm"))
-    tokens = rows.select("pdf_page", "pos", T.lemma(F.col("norm")).alias("lemma"))
+    page = ["norms", "lemmas", *(["texts"] if texts else [])]
+    rows = pages.withColumn("norms", T.pinned(F.col("norms")))
+    rows = rows.withColumn("lemmas", T.pinned(F.transform("norms", T.lemma))).select("pdf_page", *page)
+    tokens = rows.select("pdf_page", *(page if few else []), F.posexplode("lemmas").alias("pos", "lemma"))
     place = F.array_position(F.transform("words", F.length), F.array_max(F.transform("words", F.length))) - 1
-    anchored = alts.withColumn("place", place.cast("int")).withColumn("anchor", T.lemma(F.get("words", F.col("place"))))
+    anchored = alts.withColumn("place", place.cast("int")).withColumn("stems", F.transform("words", T.lemma))
+    anchored = anchored.withColumn("anchor", F.get("stems", F.col("place"))).withColumn("first", F.get("stems", F.lit(0))).withColumn("last", F.element_at("stems", -1))
     met = tokens.join(F.broadcast(anchored) if few else anchored, F.col("lemma") == F.col("anchor"))
-    candidates = met.select("pdf_page", (F.col("pos") - F.col("place")).alias("start"), "term", "rank", "words").where("start >= 0")
-    both = candidates.join(pages.select("pdf_page", "norms", *(["texts"] if texts else [])), "pdf_page")
-    own = F.slice("norms", F.col("start") + 1, F.size("words"))
-    same = own == F.col("words")
-    by_lemma = F.transform(own, T.lemma) == F.transform("words", T.lemma)
-    mode = F.when(F.col("rank") > 0, F.when(same, "variant")).when(same, "exact").when(by_lemma, "lemma")
+    both = met.withColumn("start", F.col("pos") - F.col("place")).where("start >= 0")
+    if not few:
+        both = both.select("pdf_page", "start", "term", "rank", "words", "stems", "first", "last").join(rows, "pdf_page")
+    # No lambda stands here, so that candidates of a broadcast are told in generated code, without a copy of their page.
+    # Catalyst orders filters as it likes, so a start before the page must not fail.
+    at = F.greatest("start", F.lit(0))
+    here = lambda c: F.slice(c, at + 1, F.size("words"))
+    same = here("norms") == F.col("words")
+    ends = (F.get("lemmas", at) == F.col("first")) & (F.get("lemmas", at + F.size("words") - 1) == F.col("last"))
+    both = both.where(F.when(~F.coalesce(ends, F.lit(False)), False).when(F.col("rank") > 0, same).otherwise(here("lemmas") == F.col("stems")))
+    mode = F.when(F.col("rank") > 0, "variant").when(same, "exact").otherwise("lemma")
     stop = F.col("start") + F.size("words") - 1
-    more = [F.array_join(F.slice("texts", F.col("start") + 1, F.size("words")), " ").alias("matched"), snippet(F.col("texts"), F.col("start")).alias("snippet")] if texts else []
-    found = both.select("term", "pdf_page", "start", stop.alias("stop"), mode.alias("mode"), "rank", *more).where("mode IS NOT NULL")
+    more = [F.array_join(here("texts"), " ").alias("matched"), snippet(F.col("texts"), at).alias("snippet")] if texts else []
+    found = both.select("term", "pdf_page", "start", stop.alias("stop"), mode.alias("mode"), "rank", *more)
     if variants is not None:
-        first = F.row_number().over(Window.partitionBy("term", "pdf_page", "start").orderBy("rank"))
-        found = found.withColumn("n", first).where("n = 1").drop("n")
+        # By page and not by start, so that counts by page need no other shuffle.
+        before = F.lag("start").over(Window.partitionBy("term", "pdf_page").orderBy("start", "rank"))
+        found = found.withColumn("before", before).where("before IS NULL OR before <> start").drop("before")
     return found.drop("rank")
 
 
@@ -68,12 +78,14 @@ def snippet(texts: Column, at: Column) -> Column:
     return F.when(F.length(near) >= SNIPPET_CHARS, near).when(F.length(far) >= SNIPPET_CHARS, far)
 
 
-def evidence(found: DataFrame, placed: DataFrame, folios: DataFrame) -> DataFrame:
+def evidence(found: DataFrame, placed: DataFrame, folios: DataFrame, others: bool = False) -> DataFrame:
     """Evidence rows of hits with texts; hits outside sections below a chapter are left out, and so are those without a snippet.
 
-    placed (pdf_page, section_ref, level, section_path), folios (pdf_page, folio).
+    placed (pdf_page, section_ref, level, section_path), folios (pdf_page, folio). With others, hits that
+    are left out stay as rows without a section or a snippet.
     """
-    out = found.where("snippet IS NOT NULL").join(placed.where("level > 0"), "pdf_page").join(folios.select("pdf_page", "folio"), "pdf_page")
+    how = "left" if others else "inner"
+    out = (found if others else found.where("snippet IS NOT NULL")).join(placed.where("level > 0"), "pdf_page", how).join(folios.select("pdf_page", "folio"), "pdf_page", how)
     return out.select(
         F.col("term").alias("canonical_term"),
         F.col("matched").alias("matched_variant"),

@@ -51,6 +51,41 @@ def test_matches_brute_force(spark):
     assert found(spark, rows, terms) == want
 
 
+def test_candidates_are_not_shuffled(spark):
+    """A frequent anchor gives a candidate for each of its places; only matches may leave the scan."""
+    text = " ".join(["zebra other"] * 50)
+    terms = spark.createDataFrame([("zebra one",), ("two zebra",), ("zebra zebra",), ("other zebra",)], "term string")
+    out = verify.hits(pages(spark, [(i, text) for i in range(4)]), terms, texts=True)
+    assert out.count() == 4 * 49
+    plan = re.sub(r"BroadcastExchange|ReusedExchange", "", out._jdf.queryExecution().executedPlan().toString())
+    assert "Exchange" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_shuffled_phrases_match_like_broadcast_ones(spark, monkeypatch, most):
+    """Phrases before the page's first token or past its last one, and variants against brute force, on both ways."""
+    monkeypatch.setattr(verify, "BROADCAST_ROWS", most)
+    rng = np.random.default_rng(1)
+    vocabulary = ["a", "rule", "rules", "hearsay", "zz"]
+    rows = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(1, 30))))) for i in range(20)]
+    terms = sorted({" ".join(rng.choice(vocabulary, n)) for n in (1, 2, 3, 4) for _ in range(5)})
+    variants = [(t, " ".join(rng.choice(vocabulary, 2)), k) for t in terms for k in range(2)]
+    lemma = {"rules": "rule"}
+    want = set()
+    for i, t in rows:
+        w = t.split()
+        for term in terms:
+            for s in range(len(w)):
+                forms = [term.split(), *(v.split() for x, v, _ in sorted(variants, key=lambda r: r[2]) if x == term)]
+                for k, q in enumerate(forms):
+                    own = w[s : s + len(q)]
+                    same, alike = own == q, [lemma.get(x, x) for x in own] == [lemma.get(x, x) for x in q]
+                    if same or (alike and k == 0):
+                        want.add((term, i, s, s + len(q) - 1, "variant" if k else "exact" if same else "lemma"))
+                        break
+    assert found(spark, rows, terms, variants) == want
+
+
 @pytest.mark.parametrize("partitions", ["1", "4", "17"])
 def test_results_do_not_depend_on_partitions(spark, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
