@@ -90,9 +90,9 @@ def ledger_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("jn14_locator_evidence", f"{ALL}, {SWEEP}, id AS (SELECT section_ref, folio, row_number() OVER (ORDER BY canonical_term, section_ref, folio) AS evidence_id FROM sw) SELECT section_ref, folio, max(evidence_id) AS evidence_id FROM id GROUP BY 1, 2")
 def locator_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each locator the last evidence row that has it."""
-    from foliant.operators import index as I
+    from foliant.plans.indexing import evidence_ids
 
-    return I.evidence_ids(V.sweep(_ledger(spark, sf_dir)), "canonical_term").groupBy("section_ref", "folio").agg(F.max("evidence_id").alias("evidence_id"))
+    return evidence_ids(spark, sf_dir).groupBy("section_ref", "folio").agg(F.max("evidence_id").alias("evidence_id"))
 
 
 @query("jn25_first_token", f"WITH {TOKENS}, h AS (SELECT DISTINCT lower(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')[1]) AS norm FROM benchmark), b AS (SELECT lower(text) AS norm, pdf_page, token_index FROM tk) SELECT norm, min(pdf_page) AS pdf_page, arg_min(token_index, pdf_page * 1000000 + token_index) AS token_index FROM b JOIN h USING (norm) GROUP BY 1")

@@ -147,3 +147,21 @@ def test_hash_of_rows_in_any_order(spark):
     rows = [(1, "a"), (2, None), (3, ""), (3, "")]
     of = lambda rows, n: sinks.content_hash(spark.createDataFrame(rows, "a long, b string").repartition(n)).first()[0]
     assert of(rows, 1) == of(rows[::-1], 3) != of(rows[:3], 1) and of(rows, 1) != of([(1, "a"), (2, ""), (3, ""), (3, "")], 1)
+
+
+@pytest.mark.parametrize("name", ["agg12_evidence_ids", "rnd01_index_lines"])
+def test_branches_share_one_search(tmp_path, spark, name):
+    """With a checkpoint folder, branches read stored rows: no branch searches the texts again."""
+    from foliant.plans import registry
+
+    query, context = registry.queries()[name], spark.sparkContext._jsc.sc()
+    want = sorted(map(tuple, query(spark, "/root/testdata/sf0.001").collect()))
+    context.setCheckpointDir(str(tmp_path))
+    try:
+        out = query(spark, "/root/testdata/sf0.001")
+        assert sorted(map(tuple, out.collect())) == want
+        assert "documents.parquet" not in out._jdf.queryExecution().toString()
+    finally:
+        field = context.getClass().getDeclaredField("checkpointDir")
+        field.setAccessible(True)
+        field.set(context, getattr(spark._jvm.scala, "None$").__getattr__("MODULE$"))
