@@ -16,7 +16,7 @@ from foliant.operators import verify as V
 from foliant.plans.base import literal, query, values
 from foliant.plans.indexing import ALL, HITS, OPENING, OPENINGS, PAGES, PLACED, SHARED, SLUG, STARTS, SWEEP, TERMS, TOKENS, _ledger, _terms, openings
 from foliant.plans.scalars import CITED, _sql_lemma
-from foliant.session import table
+from foliant.session import once, table
 from foliant.sources import corpus
 
 # Entries of all texts: an opening in lower case, its spellings, and each source and document that has it
@@ -197,7 +197,7 @@ def locator_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rnd02_entry_lines", f"{ALL}, {SWEEP}, {LISTS} SELECT {ARTICLE.format('canonical_term')} AS key, canonical_term AS head, canonical_term || ', ' || w AS line FROM ll")
 def entry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.locator_lists(swept(spark, sf_dir), "canonical_term").select(F.col("canonical_term").alias("id"), F.col("canonical_term").alias("canonical"), "where")
+    rows = once(R.locator_lists(swept(spark, sf_dir), "canonical_term")).select(F.col("canonical_term").alias("id"), F.col("canonical_term").alias("canonical"), "where")
     return R.entry_lines(rows.select("id", "canonical"), rows.select("id", "where")).select("key", "head", "line")
 
 
@@ -212,7 +212,7 @@ def _siblings(lists: DataFrame) -> DataFrame:
 
 @query("rnd03_synthetic_blocks", f"{ALL}, {SWEEP}, {LISTS}, {TERM_STEMS} SELECT stem AS head, 0 AS place, stem AS line FROM (SELECT DISTINCT stem FROM sb) UNION ALL SELECT stem, row_number() OVER (PARTITION BY stem ORDER BY canonical_term), '    ' || canonical_term || ', ' || w FROM sb JOIN ll USING (canonical_term)")
 def synthetic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = R.locator_lists(swept(spark, sf_dir), "canonical_term")
+    lists = once(R.locator_lists(swept(spark, sf_dir), "canonical_term"))
     return R.synthetic_lines(_siblings(lists), lists.select(F.col("canonical_term").alias("canonical"), "where")).select("head", "place", "line")
 
 
@@ -247,7 +247,7 @@ def index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_of(rows: DataFrame) -> DataFrame:
-    lists = R.locator_lists(rows, "canonical_term")
+    lists = once(R.locator_lists(rows, "canonical_term"))
     named = lists.select(F.col("canonical_term").alias("id"), F.col("canonical_term").alias("canonical"), "where")
     siblings = _siblings(lists)
     heads = named.where(F.contains("canonical", F.lit(" "))).select(T.head_noun(F.col("canonical")).alias("head"), "canonical").where(T.is_substantive(F.col("head")))
