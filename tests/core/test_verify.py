@@ -197,3 +197,23 @@ def test_replay_and_stream(spark, tmp_path):
     verify_stream(stream, terms, f"{tmp_path}/hits", f"{tmp_path}/cp").awaitTermination()
     batch = verify.hits(arrays(spark.read.parquet(f"{tmp_path}/t/documents.parquet")), terms)
     assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/hits").drop("batch").collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_variants_are_settled_without_a_shuffle(spark):
+    """The first alternative at a start is told beside the page, not by a window over all matches; two of one ordinal and repeated ones count once."""
+    text = " ".join(["rule of court"] * 20)
+    terms = spark.createDataFrame([("rule of",), ("of court",)], "term string")
+    variants = spark.createDataFrame([("rule of", "rule", 0), ("rule of", "court", 1), ("rule of", "of", 1), ("rule of", "of court", 1), ("rule of", "of", 1)], "term string, variant string, ordinal int")
+    out = verify.hits(pages(spark, [(i, text) for i in range(3)]), terms, variants)
+    counts = {(r["term"], r["mode"]): r["count"] for r in out.groupBy("term", "mode").count().collect()}
+    assert counts == {("rule of", "exact"): 60, ("rule of", "variant"): 120, ("of court", "exact"): 60}
+    plan = re.sub(r"BroadcastExchange|ReusedExchange", "", out._jdf.queryExecution().executedPlan().toString())
+    assert "Window" not in plan
+
+
+@pytest.mark.parametrize("most", [0, 8])
+def test_more_alternatives_than_are_told_beside_the_page(spark, monkeypatch, most):
+    monkeypatch.setattr(verify, "EARLIER_FORMS", most)
+    rows = [(1, "rules rule a b a"), (2, "b a rule")]
+    got = found(spark, rows, ["rule", "a b"], [("rule", "rules", 0), ("rule", "a", 1), ("a b", "a", 0), ("a b", "b a", 1)])
+    assert got == {("rule", 1, 0, 0, "lemma"), ("rule", 1, 1, 1, "exact"), ("rule", 1, 2, 2, "variant"), ("rule", 1, 4, 4, "variant"), ("rule", 2, 1, 1, "variant"), ("rule", 2, 2, 2, "exact"), ("a b", 1, 2, 3, "exact"), ("a b", 1, 3, 4, "variant"), ("a b", 1, 4, 4, "variant"), ("a b", 2, 0, 1, "variant"), ("a b", 2, 1, 1, "variant")}
