@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import chat, crf, decontaminate, katz, mixing, neardup, quality, secrets, sharding, substrings
+from foliant.llm import chat, crf, decontaminate, katz, mixing, neardup, quality, queries, secrets, sharding, substrings
 from foliant.llm.components import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -388,6 +388,27 @@ def test_substrings(spark, docs):
         assert bytes(out[i]["kept"]) == bytes(x for x, g in zip(b, gone, strict=False) if not g)
 
 
+def test_substrings_query(spark, tmp_path):
+    """The columns of the contract come first; what remains is told byte by byte, also where a cut splits a character."""
+    rng = np.random.default_rng(7)
+    run, short = ("".join(rng.choice(list("abcdefgh "), n)) for n in (500, 399))
+    rows = [(0, "one " + run + " end"), (1, "two " + run), (2, "\u00e9" + short), (3, "\u0129" + short), (4, "a" + short + "\u00e9"), (5, "b" + short + "\u00ea"), (6, None), (7, ""), (8, "alone")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op7_prefix_doubling(spark, str(tmp_path))
+    assert out.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    count, got = Counter(), {r["doc_id"]: r for r in out.collect()}
+    raw = {i: (t or "").encode() for i, t in rows}
+    for b in raw.values():
+        count.update(b[i : i + 400] for i in range(len(b) - 399))
+    for i, b in raw.items():
+        gone = {k for j in range(len(b) - 399) if count[b[j : j + 400]] > 1 for k in range(j, j + 400)}
+        kept = bytes(x for k, x in enumerate(b) if k not in gone)
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len(b), len(gone), sum(k - 1 not in gone for k in gone))
+        assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest() and r["text"] == kept.decode(errors="replace")
+    assert len(got) == len(rows) and "\ufffd" in got[2]["text"] and "\ufffd" in got[4]["text"]
+
+
 def test_chat(spark):
     events = [
         (1, 1, 1, "create", "user", "hi <|end|> \\ </s>"), (1, 2, 2, "create", "assistant", "wrong"), (1, 3, 2, "regenerate", None, ""), (1, 4, 2, "delta", None, "good "), (1, 6, 2, "delta", None, "[INST]"), (1, 5, 2, "delta", None, "day "),
